@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -14,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 8 << 20
 #: A word is a run without space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-_WRITTEN: list[str] = []
+#: Folders that cut() has written, by whose they are; _owner is whose the next one is.
+_WRITTEN: dict[str, list[str]] = {}
+_owner = "session"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,29 +36,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder: a lost executor costs no recomputation beyond it."""
+    """df as a table written to the shared folder: a lost executor costs no recomputation beyond it.
+
+    The tables stay until the session ends, as the result may read them, unless owned() says whose they are.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    _WRITTEN.setdefault(_owner, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that cut() has written. Only call it when no result that reads them is still wanted."""
+@contextlib.contextmanager
+def owned(owner: str):
+    """Tables written meanwhile belong to `owner`, for release()."""
+    global _owner
+    before, _owner = _owner, owner
+    try:
+        yield
+    finally:
+        _owner = before
+
+
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete the owner's tables; no result that reads them may still be wanted."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for path in _WRITTEN.pop(owner, []):
+        path = jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(conf).delete(path, True)
 
 
 def _release_at_exit() -> None:
     spark = SparkSession.getActiveSession()
-    if spark is not None and _WRITTEN:
-        try:
-            release(spark)
-        except Exception:  # the JVM may be gone already
-            _WRITTEN.clear()
+    for owner in list(_WRITTEN) if spark is not None else ():
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            release(spark, owner)
 
 
 atexit.register(_release_at_exit)

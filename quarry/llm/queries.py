@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: One module for each operator, in the order of the operators.
-MODULES = ("langid", "mixing", "simhash")
+MODULES = ("langid", "mixing", "pieces", "pii", "simhash")
 
 
 def _gather(what: str) -> dict:

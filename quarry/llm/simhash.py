@@ -59,8 +59,8 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of each row; null text: no words, fingerprint 0."""
+def fingerprints(docs: DataFrame, width: int = 4, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The long columns `keys` and fp (the fingerprint's 64 bits as a long) of each row; null text: no words, fingerprint 0."""
 
     def run(batches):
         for part in common.slices(batches):
@@ -68,9 +68,9 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             data = data.tobytes()
             found = [shingle_hashes(data[a:b], width) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             fps = majority(np.concatenate(found) if found else np.zeros(0, np.uint64), np.array([len(x) for x in found], np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(part.column, keys), pa.array(fps.view(np.int64))], [*keys, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*[F.col(k).cast("long").alias(k) for k in keys], "text").mapInArrow(run, ", ".join(f"{k} long" for k in (*keys, "fp")))
 
 
 def blocks_for(n: int, distance: int) -> list[int]:
@@ -210,19 +210,19 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 4, distance: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id (smallest doc_id reachable) of each row of docs.
+def near_duplicates(docs: DataFrame, *, width: int = 4, distance: int = 4, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keys`, fingerprint (16 hexadecimal digits) and component_id (smallest doc_id reachable) of each row of docs.
 
-    Null, empty and blank texts have fingerprint 0 and are linked like any other. Repeated rows share a component. A
+    Other columns of docs play no part. Null, empty and blank texts have fingerprint 0 and are linked like any other. Repeated rows share a component. A
     null doc_id is never the smallest unless its component has no other. Empty table: empty result.
     """
-    found = common.cut(fingerprints(docs, width))
+    found = common.cut(fingerprints(docs, width, keys))
     distinct = common.cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots_of = components(common.cut(links(distinct.select("fp"), distinct.count(), distance)))
     rooted = distinct.join(roots_of, distinct["fp"] == roots_of["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     label = rooted.join(least, "root").select("fp", "component_id")
-    return found.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.join(label, "fp").select(*keys, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
