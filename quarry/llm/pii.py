@@ -295,7 +295,8 @@ def find(docs: DataFrame, *, replace: bool = False) -> DataFrame:
     text stays null. Offsets are code points. Repeated rows get equal results. Empty table: empty result.
     """
     added = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    docs = docs.drop(*StructType.fromDDL(added).names)
+    names = StructType.fromDDL(added).names
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(train(table()))
 
     def run(batches):
@@ -311,7 +312,7 @@ def find(docs: DataFrame, *, replace: bool = False) -> DataFrame:
                 columns[k] = pa.array([None if not ok else redact(x, s) if s else x for x, s, ok in zip(texts, every, part.column(k).is_valid().to_pylist())], part.schema.field(k).type)
             counts = [pa.array([sum(s[0] == kind for s in own) for own in base], pa.int64()) for kind in KINDS[:4]]
             shas = pa.array([hashlib.sha256(joined(own).encode()).hexdigest() for own in base], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, *counts, shas, pa.array(map(joined, every), pa.string()), pa.array(map(len, more), pa.int64())], [*part.schema.names, *StructType.fromDDL(added).names])
+            yield pa.RecordBatch.from_arrays([*columns, *counts, shas, pa.array(map(joined, every), pa.string()), pa.array(map(len, more), pa.int64())], [*part.schema.names, *names])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(added).fields]))
 
