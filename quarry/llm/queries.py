@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: One module for each operator, in the order of the operators.
-MODULES = ("langid", "mixing", "mtree", "pieces", "pii", "simhash")
+MODULES = ("langid", "mixing", "mtree", "pieces", "pii", "simhash", "warc")
 
 
 def _gather(what: str) -> dict:
