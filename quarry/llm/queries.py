@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: One module for each operator, in the order of the operators.
-MODULES = ("features", "langid", "mixing", "mtree", "pieces", "pii", "simhash", "warc")
+MODULES = ("features", "langid", "mixing", "mtree", "pieces", "pii", "simhash", "warc", "windows")
 
 
 def _gather(what: str) -> dict:
