@@ -53,18 +53,9 @@ def entropies(data: np.ndarray) -> np.ndarray:
     return (np.maximum(0, top - sums) * (LEVELS - 1)) // top
 
 
-def inside(ends: np.ndarray, size: int, n: int) -> np.ndarray:
-    """For texts laid end to end: whether `size` places from each lie in one text; for the first n - size + 1 places."""
-    change = np.zeros(n + 2, np.int32)
-    stops = ends[:-1]
-    np.add.at(change, np.maximum(0, stops - size + 1), 1)
-    np.add.at(change, stops, -1)
-    return np.cumsum(change)[: max(0, n - size + 1)] == 0
-
-
 def histogram(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     levels = entropies(data)
-    return np.bincount(levels[inside(at[1:], WINDOW, len(data))], minlength=LEVELS) if len(levels) else np.zeros(LEVELS, np.int64)
+    return np.bincount(levels[common.inside(at[1:], WINDOW, len(data))], minlength=LEVELS) if len(levels) else np.zeros(LEVELS, np.int64)
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
@@ -99,7 +90,7 @@ def features(data: np.ndarray, at: np.ndarray, rank: np.ndarray) -> tuple[np.nda
     hashes = hashes.astype(np.uint64)
     if n >= WINDOW:
         r = rank[entropies(data)].astype(np.int64)
-        usable = (r >= 0) & inside(at[1:], WINDOW, n)
+        usable = (r >= 0) & common.inside(at[1:], WINDOW, n)
         none = np.int64(1) << 62
         key = np.where(usable, (r << 40) + np.arange(len(r)), none)
         # short texts have one stretch of all their windows; padding stands for the windows that it lacks
