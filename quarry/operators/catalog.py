@@ -2,10 +2,316 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarry.config import Config
+from quarry.operators import approx, digest, exact
+from quarry.plans import dialect, planner
+from quarry.sources import generator, logs, store
+from quarry.streaming import ingest
+
+LOGS = f"WITH logs AS {logs.SQL} "
+
+#: Statements over the logs view, each as the dialect's text and as SQL.
+STATEMENTS = {
+    "count_global": "SELECT COUNT(*) FROM logs",
+    "sum_global": "SELECT SUM(level) FROM logs",
+    "avg_global": "SELECT AVG(level) FROM logs",
+    "count_eq": "SELECT COUNT(*) FROM logs WHERE status = 0",
+    "sum_eq": "SELECT SUM(level) FROM logs WHERE country = 1",
+    "count_gt": "SELECT COUNT(*) FROM logs WHERE level > 50",
+    "count_lt": "SELECT COUNT(*) FROM logs WHERE level < 20",
+    "count_ge_ts": "SELECT COUNT(*) FROM logs WHERE timestamp >= 1705276800000",
+    "count_gt_ts": "SELECT COUNT(*) FROM logs WHERE timestamp > 1705276800000",
+    "count_le": "SELECT COUNT(*) FROM logs WHERE level <= 50",
+    "count_rare": "SELECT COUNT(*) FROM logs WHERE status = 2",
+    "count_rare_range": "SELECT COUNT(*) FROM logs WHERE level > 95",
+    "sum_range": "SELECT SUM(level) FROM logs WHERE level > 75",
+    "avg_eq": "SELECT AVG(level) FROM logs WHERE status = 0",
+    "count_none": "SELECT COUNT(*) FROM logs WHERE status = 9",
+    "sum_none": "SELECT SUM(level) FROM logs WHERE status = 9",
+    "count_and": "SELECT COUNT(*) FROM logs WHERE status = 0 AND country = 1",
+    "count_or": "SELECT COUNT(*) FROM logs WHERE level > 50 OR status = 2",
+    "count_not": "SELECT COUNT(*) FROM logs WHERE NOT status = 1 AND country = 2",
+    "count_precedence": "SELECT COUNT(*) FROM logs WHERE status = 0 OR country = 1 AND level > 50",
+    "count_three": "SELECT COUNT(*) FROM logs WHERE status = 0 AND country = 1 AND level > 50",
+    "avg_or": "SELECT AVG(level) FROM logs WHERE status = 0 OR country = 1",
+    "sum_not": "SELECT SUM(level) FROM logs WHERE NOT status = 1",
+    "group_count": "SELECT COUNT(*) FROM logs GROUP BY country",
+    "group_count_status": "SELECT COUNT(*) FROM logs GROUP BY status",
+    "group_sum": "SELECT SUM(level) FROM logs GROUP BY country",
+    "group_avg": "SELECT AVG(level) FROM logs GROUP BY status",
+    "filter_group_count": "SELECT COUNT(*) FROM logs WHERE status = 0 GROUP BY country",
+    "filter_group_sum": "SELECT SUM(level) FROM logs WHERE level > 50 GROUP BY status",
+    "bool_group_count": "SELECT COUNT(*) FROM logs WHERE NOT status = 1 AND country = 2 GROUP BY country",
+    "limit_count": "SELECT COUNT(*) FROM logs WHERE level > 50 LIMIT 100",
+    "limit_offset_count": "SELECT COUNT(*) FROM logs WHERE level > 50 LIMIT 100 OFFSET 100",
+    "limit_sum": "SELECT SUM(level) FROM logs WHERE level > 50 LIMIT 1000",
+    "limit_group": "SELECT COUNT(*) FROM logs WHERE level > 50 LIMIT 100 GROUP BY country",
+    "offset_count": "SELECT COUNT(*) FROM logs WHERE status = 0 OFFSET 500",
+}
+#: Exact percentiles: filter and quantile.
+PERCENTILES = {"pctl_exact_p50": ("", 0.5), "pctl_exact_p95": ("", 0.95), "pctl_filtered_exact": (" WHERE status = 0", 0.95), "pctl_exact_q0": ("", 0.0), "pctl_exact_q1": ("", 1.0)}
+AQP = {
+    "aqp_count": ("SELECT COUNT(*) FROM logs", "balanced"),
+    "aqp_sum": ("SELECT SUM(level) FROM logs", "balanced"),
+    "aqp_avg": ("SELECT AVG(level) FROM logs", "accurate"),
+    "aqp_filtered_count": ("SELECT COUNT(*) FROM logs WHERE status = 0", "accurate"),
+}
+
+
+def statement(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.answer(logs.read(spark, sf_dir), dialect.parse(sql), "user_id")
+
+
+def statement_sql(sql: str) -> str:
+    """DuckDB SQL for a statement: the scan budget becomes a subquery in order of the key."""
+    p = dialect.parse(sql)
+    where = ""
+    if p.where is not None:
+        where = " WHERE " + _sql(p.where)
+    source = f"(SELECT * FROM logs{where} ORDER BY user_id{'' if p.limit is None else f' LIMIT {p.limit}'}{f' OFFSET {p.offset}' if p.offset else ''})" if p.limit is not None or p.offset else f"logs{where}"
+    a = p.aggregate
+    value = {"count": "CAST(count(*) AS DOUBLE)", "sum": f"CAST(sum({a.column}) AS DOUBLE)", "avg": f"CAST(sum({a.column}) AS DOUBLE) / count({a.column})"}[a.kind]
+    if p.group_by:
+        return f"{LOGS}SELECT CAST({p.group_by} AS VARCHAR) AS key, {value} AS value, 'Exact' AS confidence FROM {source} GROUP BY {p.group_by}"
+    return f"{LOGS}SELECT {value} AS value FROM {source}"
+
+
+def _sql(p: dialect.Predicate) -> str:
+    match p:
+        case dialect.Compare(c, op, x):
+            return f"{c} {op} {x}"
+        case dialect.Not(a):
+            return f"(NOT {_sql(a)})"
+        case dialect.And(a, b):
+            return f"({_sql(a)} AND {_sql(b)})"
+        case dialect.Or(a, b):
+            return f"({_sql(a)} OR {_sql(b)})"
+
+
+def percentile(where: str, q: float, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.answer(logs.read(spark, sf_dir), dialect.parse(f"SELECT APPROX_PERCENTILE(level, {q}) FROM logs{where}"))
+
+
+def percentile_sql(where: str, q: float) -> str:
+    return f"{LOGS}, s AS (SELECT list_sort(list(CAST(level AS DOUBLE))) AS v FROM logs{where}) SELECT v[CAST(floor({q} * (len(v) - 1) + 0.5) AS BIGINT) + 1] AS value FROM s"
+
+
+def group_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.answer(logs.read(spark, sf_dir), dialect.parse("SELECT APPROX_PERCENTILE(level, 0.9) FROM logs GROUP BY country"))
+
+
+def filter_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text compares byte by byte."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "value")
+    return exact.answer(events, dialect.parse("SELECT COUNT(*) FROM events WHERE event_type >= 'login' AND NOT event_type = view GROUP BY event_type"))
+
+
+def filter_float(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_discount", "l_quantity", "l_returnflag")
+    return exact.answer(items, dialect.parse("SELECT SUM(l_quantity) FROM lineitem WHERE l_discount >= 0.05 AND l_discount < 0.07 GROUP BY l_returnflag"))
+
+
+def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return approx.sample(logs.read(spark, sf_dir), "user_id", 0.05).select("user_id", "level")
+
+
+def aqp(sql: str, mode: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimate with its variance, error, interval and confidence, before any fallback."""
+    plan, by = dialect.parse(sql), approx.MODES[mode]
+    rows = exact.matching(approx.sample(logs.read(spark, sf_dir), "user_id", by.rate), plan)
+    d = approx.judge(plan, rows.agg(*approx.moments(plan)).first(), by.rate, by)
+    out = [round(x, 6) for x in (d.estimate, d.relative_error, d.ci_low, d.ci_high)]
+    return spark.createDataFrame([(*out, d.sample_rows, d.confidence)], "estimate double, relative_error double, ci_low double, ci_high double, sample_rows long, confidence string")
+
+
+def _sampled(mode: str) -> str:
+    return f"SELECT * FROM logs WHERE CAST('0x' || substr(md5('42|' || user_id), 1, 8) AS BIGINT) % 1000 < {int(approx.MODES[mode].rate * 1000 + 1e-9)}"
+
+
+def aqp_sql(sql: str, mode: str) -> str:
+    p, by = dialect.parse(sql), approx.MODES[mode]
+    where = f" WHERE {_sql(p.where)}" if p.where is not None else ""
+    c, r = p.aggregate.column, by.rate
+    m = f"{LOGS}, s AS ({_sampled(mode)}), m AS (SELECT count(*) AS n" + (f", sum({c})::DOUBLE AS total, sum({c}::DOUBLE * {c}) AS squares, avg({c}::DOUBLE) AS mean, var_samp({c}::DOUBLE) AS spread" if c else "") + f" FROM s{where})"
+    value, half, low = {
+        "count": (f"n / {r}", f"1.96 * sqrt((1 - {r}) / ({r} * {r}) * greatest(n, 1))", "greatest(0, v - h)"),
+        "sum": (f"total / {r}", f"1.96 * sqrt((1 - {r}) / ({r} * {r}) * greatest(squares, 1))", "v - h"),
+        "avg": ("mean", "1.96 * sqrt(spread / n)", "v - h"),
+    }[p.aggregate.kind]
+    return f"{m}, e AS (SELECT n, {value} AS v, {half} AS h FROM m) SELECT round(v, 6) AS estimate, round(h / abs(v), 6) AS relative_error, round({low}, 6) AS ci_low, round(v + h, 6) AS ci_high, n AS sample_rows, CASE WHEN h / abs(v) <= {by.target_error} THEN 'High' ELSE 'Low' END AS confidence FROM e"
+
+
+def aqp_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, by = dialect.parse("SELECT COUNT(*) FROM logs GROUP BY country"), approx.MODES["accurate"]
+    rows = exact.matching(approx.sample(logs.read(spark, sf_dir), "user_id", by.rate), plan)
+    return approx.groups(rows, plan, by, by.rate).withColumn("value", F.round("value", 6))
+
+
+def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Too few sample rows match, so the answer is exact."""
+    plan = dialect.parse("SELECT SUM(level) FROM logs WHERE user_id < 300")
+    return approx.answer(logs.read(spark, sf_dir), plan, approx.MODES["fast"], "user_id")[0]
+
+
+def digest_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = logs.read(spark, sf_dir).withColumn("segment", F.floor(F.col("user_id") / 2500).cast("int"))
+    return digest.centroids(rows, "segment", "level", 100).select("segment", F.round("mean", 6).alias("mean"), "weight")
+
+
+def digest_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = logs.read(spark, sf_dir).withColumn("segment", F.lit(0))
+    return digest.percentile(digest.centroids(rows, "segment", "level", 100), 0.95, 100).select(F.round("value", 6).alias("value"))
+
+
+_CENTROIDS = """c AS (
+    SELECT segment, avg(level) AS mean, CAST(count(*) AS DOUBLE) AS weight, run FROM (
+        SELECT segment, level, (rn - 1) // CAST(ceil(n / 100.0) AS BIGINT) AS run FROM (
+            SELECT *, row_number() OVER (PARTITION BY segment ORDER BY level) AS rn, count(*) OVER (PARTITION BY segment) AS n
+            FROM (SELECT level, {segment} AS segment FROM logs)))
+    GROUP BY segment, run)"""
+
+
+def hll_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = logs.read(spark, sf_dir).withColumn("segment", F.floor(F.col("user_id") / 2500))
+    return digest.distinct_estimate(digest.distinct_sketch(rows, "level", "segment"))
+
+
+def _store(spark: SparkSession, sf_dir: str, **settings) -> store.Store:
+    """A store of its own with the logs view's rows, compacted into segments."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
+    own = store.Store(spark, f"{base}/store-{uuid.uuid4().hex}", config=Config(**settings))
+    own.append(logs.read(spark, sf_dir))
+    own.compact(all_deltas=True)
+    return own
+
+
+def over_store(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _store(spark, sf_dir, max_segment_rows=100_000)
+    return planner.answer(own, dialect.parse(sql)).rows
+
+
+def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, sum and bounds of each of the segments of 2500 keys."""
+    rows = logs.read(spark, sf_dir).withColumn("segment", F.floor(F.col("user_id") / 2500).cast("int"))
+    return rows.groupBy("segment").agg(F.count("*").alias("n"), F.sum("level").alias("total"), F.min("level").alias("least"), F.max("level").alias("greatest"), F.countDistinct("level").alias("n_distinct"))
+
+
+def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = logs.read(spark, sf_dir).withColumn("segment_id", F.floor(F.col("user_id") / 2500).cast("int"))
+    return store.group_stats(rows, ["status", "country"], ["level"]).select("segment_id", F.col("column").alias("by_column"), "key", "rows", "sum_level", "n_level")
+
+
+def range_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last time of each run of 1024 keys."""
+    rows = logs.read(spark, sf_dir)
+    return rows.groupBy(F.floor(F.col("user_id") / 1024).cast("long").alias("block")).agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count("*").alias("n"))
+
+
+def dedup_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the events of each user the last stays."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("event_id").alias(store.SEQ), "event_type", F.floor("value").cast("long").alias("level"))
+    return store.newest(events, "user_id").select("user_id", F.col(store.SEQ).alias("event_id"), "event_type", "level")
+
+
+def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A segment, a delta over some of its keys, and a buffer over one of them: averages over what is newest."""
+    own = _store(spark, sf_dir)
+    rows = logs.read(spark, sf_dir)
+    own.append(rows.where(F.col("user_id") % 10 == 0).withColumn("level", F.col("level") + 1000))
+    own.insert([0, 0, 0, 0, 5000])
+    return planner.answer(own, dialect.parse("SELECT AVG(level) FROM logs GROUP BY country")).rows.withColumn("value", F.round("value", 6))
+
+
+def csv_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as CSV with the columns in another order, loaded, compacted, and answered from kept sums."""
+    from quarry.schema import LOGS as LOGS_SCHEMA
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
+    path = f"{base}/csv-{uuid.uuid4().hex}"
+    logs.read(spark, sf_dir).select("level", "user_id", "country", "status").write.option("header", True).csv(path)
+    own = store.Store(spark, f"{base}/store-{uuid.uuid4().hex}", LOGS_SCHEMA)
+    own.load_csv(path)
+    own.compact()
+    return planner.answer(own, dialect.parse("SELECT SUM(level) FROM logs GROUP BY status")).rows
+
+
+def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = generator.rows(spark, 100_000, store.schemas.LOGS)
+    return rows.groupBy("status").agg(F.round(F.count("*") / 100_000, 1).alias("share")).select(F.col("status").cast("int").alias("status"), "share")
+
+
+def segment_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments drawn by rows: as many, and all different."""
+    drawn = approx.segment_sample([(f"s{i}", 100 + i) for i in range(40)], 0.25)
+    return spark.createDataFrame([(len(drawn), len(set(drawn)))], "drawn long, different long")
+
+
+def reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ingest.Reservoir(100, seed=1)
+    rows = logs.read(spark, sf_dir)
+    r.offer_all(rows, rows.count(), 7)
+    return spark.createDataFrame(r.sample(), rows.schema)
+
+
+def streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events streamed into a store by micro-batches, then counted by status."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
+    run = uuid.uuid4().hex
+    own = store.Store(spark, f"{base}/store-{run}", config=Config(min_compaction_files=2))
+    rows = logs.read(spark, sf_dir)
+    rows.repartition(3).write.parquet(f"{base}/stream-{run}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/stream-{run}")
+    query = ingest.into(own, stream, f"{base}/stream-checkpoint-{run}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return planner.answer(own, dialect.parse("SELECT COUNT(*) FROM logs GROUP BY status")).rows
+
 
 def queries() -> dict:
-    return {}
+    out = {name: functools.partial(statement, sql) for name, sql in STATEMENTS.items()}
+    out |= {name: functools.partial(percentile, *p) for name, p in PERCENTILES.items()}
+    out |= {name: functools.partial(aqp, *a) for name, a in AQP.items()}
+    out |= {f"store_{name}": functools.partial(over_store, STATEMENTS[name]) for name in STORED}
+    return out | {
+        "pctl_group": group_percentile, "filter_string": filter_string, "filter_float": filter_float, "hash_sample_rows": hash_sample,
+        "aqp_group_count": aqp_groups, "aqp_fallback_sum": fallback, "digest_centroids": digest_centroids, "pctl_digest_p95": digest_percentile,
+        "hll_distinct": hll_distinct, "segment_stats": segment_stats, "group_stats": group_stats, "range_blocks": range_blocks,
+        "dedup_latest": dedup_latest, "layer_merge_avg": layered, "csv_load_group_sum": csv_round, "generated_shares": generated,
+        "segment_sample": segment_sampling, "reservoir_sample": reservoir, "streaming_ingest_count": streaming,
+    }
+
+
+#: Statements that are also answered from a store's statistics, sums by value and pruned segments.
+STORED = ("count_global", "sum_global", "avg_global", "sum_eq", "count_eq", "group_count", "group_avg", "count_ge_ts", "count_or", "filter_group_sum", "limit_offset_count")
 
 
 def oracle_sql() -> dict:
-    return {}
+    out = {name: statement_sql(sql) for name, sql in STATEMENTS.items()}
+    out |= {name: percentile_sql(*p) for name, p in PERCENTILES.items()}
+    out |= {name: aqp_sql(*a) for name, a in AQP.items()}
+    out |= {f"store_{name}": statement_sql(STATEMENTS[name]) for name in STORED}
+    out["pctl_group"] = f"{LOGS}, s AS (SELECT country, list_sort(list(CAST(level AS DOUBLE))) AS v FROM logs GROUP BY country) SELECT CAST(country AS VARCHAR) AS key, v[CAST(floor(0.9 * (len(v) - 1) + 0.5) AS BIGINT) + 1] AS value, 'Exact' AS confidence FROM s"
+    out["filter_string"] = "SELECT event_type AS key, CAST(count(*) AS DOUBLE) AS value, 'Exact' AS confidence FROM events WHERE event_type >= 'login' AND NOT event_type = 'view' GROUP BY event_type"
+    out["filter_float"] = "SELECT l_returnflag AS key, CAST(sum(l_quantity) AS DOUBLE) AS value, 'Exact' AS confidence FROM lineitem WHERE l_discount >= 0.05::DOUBLE AND l_discount < 0.07::DOUBLE GROUP BY l_returnflag"
+    out["hash_sample_rows"] = f"{LOGS}, s AS ({_sampled('balanced')}) SELECT user_id, level FROM s"
+    out["aqp_group_count"] = f"{LOGS}, s AS ({_sampled('accurate')}) SELECT CAST(country AS VARCHAR) AS key, round(count(*) / 0.1, 6) AS value, CASE WHEN least(1.0, 1 / sqrt(count(*))) <= 0.05 THEN 'High' ELSE 'Low' END AS confidence FROM s GROUP BY country"
+    out["aqp_fallback_sum"] = f"{LOGS}SELECT CAST(sum(level) AS DOUBLE) AS value FROM logs WHERE user_id < 300"
+    out["digest_centroids"] = f"{LOGS}, {_CENTROIDS.format(segment='CAST(user_id // 2500 AS INTEGER)')} SELECT segment, round(mean, 6) AS mean, weight FROM c"
+    out["pctl_digest_p95"] = f"{LOGS}, {_CENTROIDS.format(segment='0')}, w AS (SELECT *, sum(weight) OVER (ORDER BY run) AS upto, sum(weight) OVER () AS total, lead(mean) OVER (ORDER BY run) AS after FROM c), f AS (SELECT * FROM w WHERE 0.95 * total <= upto ORDER BY run LIMIT 1) SELECT round(mean + CASE WHEN after IS NULL THEN 0 ELSE (after - mean) * (0.95 * total - (upto - weight)) / greatest(weight, 1) END, 6) AS value FROM f"
+    out["segment_stats"] = f"{LOGS}SELECT CAST(user_id // 2500 AS INTEGER) AS segment, count(*) AS n, CAST(sum(level) AS BIGINT) AS total, min(level) AS least, max(level) AS greatest, count(DISTINCT level) AS n_distinct FROM logs GROUP BY 1"
+    out["group_stats"] = LOGS + " UNION ALL ".join(f"SELECT CAST(user_id // 2500 AS INTEGER) AS segment_id, '{c}' AS by_column, CAST({c} AS VARCHAR) AS key, count(*) AS rows, CAST(sum(level) AS DOUBLE) AS sum_level, count(level) AS n_level FROM logs GROUP BY 1, 2, 3" for c in ("status", "country"))
+    out["range_blocks"] = f"{LOGS}SELECT user_id // 1024 AS block, min(timestamp) AS first, max(timestamp) AS last, count(*) AS n FROM logs GROUP BY 1"
+    out["dedup_latest"] = "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, CAST(floor(arg_max(value, event_id)) AS BIGINT) AS level FROM events GROUP BY user_id"
+    out["layer_merge_avg"] = f"{LOGS}, n AS (SELECT CASE WHEN user_id = 0 THEN 0 ELSE country END AS country, CASE WHEN user_id = 0 THEN 5000 WHEN user_id % 10 = 0 THEN level + 1000 ELSE level END AS level FROM logs) SELECT CAST(country AS VARCHAR) AS key, round(sum(level)::DOUBLE / count(*), 6) AS value, 'Exact' AS confidence FROM n GROUP BY country"
+    out["csv_load_group_sum"] = statement_sql("SELECT SUM(level) FROM logs GROUP BY status")
+    out["generated_shares"] = "SELECT * FROM (VALUES (CAST(0 AS INTEGER), 0.7::DOUBLE), (1, 0.2::DOUBLE), (2, 0.1::DOUBLE)) t(status, share)"
+    out["segment_sample"] = "SELECT CAST(10 AS BIGINT) AS drawn, CAST(10 AS BIGINT) AS different"
+    out["streaming_ingest_count"] = statement_sql("SELECT COUNT(*) FROM logs GROUP BY status")
+    return out
