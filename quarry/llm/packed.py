@@ -48,15 +48,15 @@ def unpress(blob: bytes) -> Arrays:
     return out
 
 
-def pack(docs: DataFrame) -> DataFrame:
+def pack(docs: DataFrame, limit: int = common.SLICE_BYTES) -> DataFrame:
     """chunk, n (bytes of text) and body of all rows of docs (doc_id, text), null texts as empty ones.
 
-    A chunk's texts stand in order of doc_id, null last; chunk numbers are settled by writing the table.
+    A chunk has at most `limit` bytes of text, or one text that is longer. Its texts stand in order of doc_id, null last; chunk numbers are settled by writing the table.
     """
 
     def run(batches):
         task, k = TaskContext.get().partitionId(), 0
-        for part in common.slices(batches):
+        for part in common.slices(batches, limit=limit):
             column = part.column("doc_id")
             ids = column.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             order = np.argsort(ids, kind="stable")
@@ -126,7 +126,7 @@ def with_replies(chunks: DataFrame, replies: DataFrame, f: Callable[[int, bytes,
 def _table(name: str, factor: int, n: int) -> np.ndarray:
     have = _held.get(name)
     if have is None or len(have) < n:
-        have = np.full(max(n, common.SLICE_BYTES + (1 << 20)), factor, np.uint64)
+        have = np.full(1 << max(16, n.bit_length()), factor, np.uint64)
         have[0] = 1
         _held[name] = have = np.cumprod(have, dtype=np.uint64)
     return have[:n]
@@ -135,7 +135,8 @@ def _table(name: str, factor: int, n: int) -> np.ndarray:
 def sums(values: np.ndarray) -> np.ndarray:
     """Running sums from which hashed() gives the hash of any stretch of values."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * _table("power", BASE, len(values)), out=out[1:])
+    np.multiply(values, _table("power", BASE, len(values)), out=out[1:])
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
@@ -143,3 +144,10 @@ def hashed(total: np.ndarray, start, end) -> np.ndarray:
     """Hashes of the stretches [start, end), the same wherever equal stretches stand; 64 bits, of which the low are the weakest."""
     inverse = _table("inverse", pow(BASE, -1, 1 << 64), len(total))
     return (total[end] - total[start]) * inverse[start]
+
+
+def rolling(total: np.ndarray, length: int) -> np.ndarray:
+    """hashed() of the stretch of that length from every place that has one."""
+    out = total[length:] - total[:-length]
+    out *= _table("inverse", pow(BASE, -1, 1 << 64), len(out))
+    return out

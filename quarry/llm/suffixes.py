@@ -22,8 +22,8 @@ from quarry.llm import common, packed
 LENGTH, GRAM = 200, 64
 #: Occurrences of a gram beyond which its windows go singly.
 HOT = 2048
-#: Bytes of segments that are sorted together.
-BATCH = 4 << 20
+#: Bytes of text in a chunk, and of segments that are sorted together: numpy holds some 30 times as much.
+CHUNK, BATCH = 2 << 20, 2 << 20
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -148,8 +148,7 @@ class Grams:
         n = len(data)
         if n < LENGTH:
             return
-        i = np.arange(n - GRAM + 1)
-        h = packed.hashed(self.total, i, i + GRAM)
+        h = packed.rolling(self.total, GRAM)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h |= np.uint64(1)  # 0 stands for no window
@@ -245,7 +244,7 @@ def deduplicate(docs: DataFrame, hot: int = HOT) -> DataFrame:
     own, so both lose what they share. Empty table: empty result. Grams and whole segments are equal if their 64-bit
     hashes are; windows of unequal segments are compared by their bytes.
     """
-    chunks = packed.pack(docs)
+    chunks = packed.pack(docs, CHUNK)
     n_buckets = packed.buckets(chunks)
 
     def offer(chunk: int, body: bytes) -> list[tuple[int, int, bytes]]:
