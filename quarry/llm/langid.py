@@ -16,6 +16,8 @@ BUCKETS = 1 << 15
 #: The classifier is fitted on about so many labelled documents of each language, whole texts, chosen by a hash of doc_id.
 MAX_DOCS = 4000
 UNKNOWN = "und"
+#: Languages up to which their shares, a string and a number each, are sent to every task.
+MOST_BROADCAST = 10_000
 #: Log-probabilities are held as integers, so that sums don't depend on the order of adding.
 UNIT = 1024
 _LETTER = re.compile(r"[^\W\d_]")
@@ -93,6 +95,8 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     langs = sorted(per)
     spark = labelled.sparkSession
     share = spark.createDataFrame([(x, min(1.0, max_docs / per[x])) for x in langs], "_lang string, _share double")
+    if len(langs) <= MOST_BROADCAST:  # else a join that deals the texts by language
+        share = F.broadcast(share)
     chosen = labelled.join(share, labelled["lang"] == share["_lang"]).where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < F.col("_share") * (1 << 20))
 
     def tally(batches):
