@@ -1,4 +1,4 @@
-"""Command line: gen, load, query, compact, verify, resplit; without a command, an interactive prompt."""
+"""Command line: gen, load, query, compact, verify, resplit, serve; without a command, an interactive prompt."""
 
 from __future__ import annotations
 
@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     c = s.add_parser("compact", help="merge delta files into segments")
     c.add_argument("--all", action="store_true", help="whatever the strategy would pick")
     s.add_parser("verify", help="compare files with the manifest")
+    s.add_parser("serve", help="the HTTP interface").add_argument("--port", type=int, default=8000)
     s.add_parser("resplit", help="rewrite all segments").add_argument("--rows", type=int)
     return p
 
@@ -84,6 +85,10 @@ def main(argv: list[str] | None = None) -> int:
                 from quarry.repl import Prompt
 
                 Prompt(session).cmdloop()
+            elif args.command == "serve":
+                from quarry.http_api import server
+
+                server(session, args.port).serve_forever()
             else:
                 print(run(session, args))
     except EngineError as e:

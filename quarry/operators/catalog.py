@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.config import Config
+from quarry.functions import workloads
 from quarry.operators import approx, digest, exact
 from quarry.plans import dialect, planner
 from quarry.sources import generator, logs, store
@@ -66,6 +67,10 @@ AQP = {
 }
 
 
+STATEMENTS |= {f"preset_{k:02d}": sql for k, (_, sql) in enumerate(workloads.PRESETS, 1) if "PERCENTILE" not in sql}
+STATEMENTS |= {f"bench_{name.lower()}": sql for name, _, sql in workloads.BENCHMARKS}
+
+
 def statement(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.answer(logs.read(spark, sf_dir), dialect.parse(sql), "user_id")
 
@@ -218,7 +223,7 @@ def range_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the events of each user the last stays."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("event_id").alias(store.SEQ), "event_type", F.floor("value").cast("long").alias("level"))
-    return store.newest(events, "user_id").select("user_id", F.col(store.SEQ).alias("event_id"), "event_type", "level")
+    return store.newest(events, "user_id", store.SEQ).select("user_id", F.col(store.SEQ).alias("event_id"), "event_type", "level")
 
 
 def layered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ Layout under the table's folder (any path that Spark can write):
     segments/V/segment_id=N/      Parquet files sorted by primary key, disjoint in it
     groups/V, sample/V, digest/V  per segment: sums by value, the baked row sample, quantile centroids and distinct sketches
 
-Rows with the same primary key replace each other: the highest sequence number stays. Compaction merges deltas with the
+Rows with the same primary key replace each other: the newest stays, that of the latest delta and, in it, of the last row. Compaction merges deltas with the
 segments whose key range they touch, so segments never overlap and a query over them alone needs no deduplication.
 """
 
@@ -26,7 +26,9 @@ from quarry.config import Config
 from quarry.errors import StorageError
 from quarry.operators import approx, digest
 
-SEQ = "_seq"
+#: Place of a row: which delta it came in (segments before all, the buffer after all), and where in it.
+LAYER, SEQ = "_layer", "_seq"
+_BUFFER = 1 << 62
 
 
 @dataclass
@@ -48,7 +50,6 @@ class Segment:
 @dataclass
 class Manifest:
     schema: list[tuple[str, str]] = field(default_factory=list)
-    next_seq: int = 0
     next_delta: int = 0
     next_segment: int = 0
     deltas: list[Delta] = field(default_factory=list)
@@ -148,15 +149,13 @@ class Store:
     def append(self, rows: DataFrame, files: int | None = None) -> int:
         """A delta of the rows, in one piece or none. Their order decides which of equal keys stays."""
         with self._lock:
-            name, first = f"{self.manifest.next_delta:06d}", self.manifest.next_seq
-            rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema])
+            name = f"{self.manifest.next_delta:06d}"
+            rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema]).withColumn(SEQ, F.monotonically_increasing_id())
             if files:
                 rows = rows.repartition(files)
-            rows = rows.withColumn(SEQ, F.monotonically_increasing_id() + first)
             rows.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{self.key}", "true").option(f"parquet.bloom.filter.fpp#{self.key}", str(self.config.bloom_fpr)).parquet(f"{self.path}/delta/{name}")
-            n, last = self._delta(name).agg(F.count("*"), F.coalesce(F.max(SEQ), F.lit(first - 1))).first()
+            n = self._delta(name).count()
             self.manifest.next_delta += 1
-            self.manifest.next_seq = last + 1
             self.manifest.deltas.append(Delta(name, n, *self._size(f"delta/{name}")))
             self._commit()
             return n
@@ -196,17 +195,17 @@ class Store:
     # reading
 
     def _delta(self, name: str) -> DataFrame:
-        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField(SEQ, T.LongType())])).parquet(f"{self.path}/delta/{name}")
+        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField(SEQ, T.LongType())])).parquet(f"{self.path}/delta/{name}").withColumn(LAYER, F.lit(int(name)).cast("long"))
 
     def pending(self) -> bool:
         return bool(self.manifest.deltas or self.buffer)
 
     def _pending_rows(self) -> DataFrame:
         """The newest row of each key in the deltas and the buffer."""
-        rows = self._buffered().withColumn(SEQ, F.lit((1 << 62)).cast("long"))
+        rows = self._buffered().withColumns({SEQ: F.lit(0).cast("long"), LAYER: F.lit(_BUFFER).cast("long")})
         for d in self.manifest.deltas:
             rows = rows.unionByName(self._delta(d.name))
-        return newest(rows, self.key).drop(SEQ)
+        return newest(rows, self.key, LAYER, SEQ).drop(LAYER, SEQ)
 
     def side(self, kind: str, segments: list[Segment] | None = None) -> DataFrame | None:
         """A side table of the segments: groups, sample or digest."""
@@ -260,8 +259,8 @@ class Store:
                     rows = part if rows is None else rows.unionByName(part)
             low, high = rows.agg(F.min(self.key), F.max(self.key)).first()
             touched = [s for s in self.manifest.segments if s.stats[self.key]["least"] is None or low is None or not (s.stats[self.key]["greatest"] < low or s.stats[self.key]["least"] > high)]
-            old = self.segment_rows(touched).withColumn(SEQ, F.lit(-1).cast("long"))
-            self._rewrite(newest(rows.unionByName(old), self.key).drop(SEQ), touched, chosen)
+            old = self.segment_rows(touched).withColumns({SEQ: F.lit(0).cast("long"), LAYER: F.lit(-1).cast("long")})
+            self._rewrite(newest(rows.unionByName(old), self.key, LAYER, SEQ).drop(LAYER, SEQ), touched, chosen)
             return len(chosen)
 
     def resplit(self, max_rows: int | None = None) -> int:
@@ -365,10 +364,12 @@ def _place(key, edges: list):
     return search(0, len(edges))
 
 
-def newest(rows: DataFrame, key: str) -> DataFrame:
-    """Of the rows with one key, the one with the highest sequence number. Partial aggregation keeps a hot key small."""
+def newest(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Of the rows with one key, the last one in the order of these columns. Partial aggregation keeps a hot key small."""
     others = [c for c in rows.columns if c != key]
-    return rows.groupBy(F.col(f"`{key}`").alias(key)).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in others]), SEQ).alias("_row")).select(key, *[F.col(f"_row.`{c}`").alias(c) for c in others]).select(*rows.columns)
+    last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in others]), F.struct(*order))
+    found = rows.groupBy(F.col(f"`{key}`").alias(key)).agg(last.alias("_row"))
+    return found.select(*[F.col(f"`{c}`") if c == key else F.col(f"_row.`{c}`").alias(c) for c in rows.columns])
 
 
 def group_stats(rows: DataFrame, by: list[str], measures: list[str]) -> DataFrame:

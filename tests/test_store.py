@@ -147,3 +147,40 @@ def test_reservoir_is_uniform():
     other.offer(99)
     r.merge(other)
     assert r.total == 51 and len(r.sample()) == 10
+
+
+def test_http(spark, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from quarry.http_api import server
+
+    with connect(spark, str(tmp_path / "s")) as session:
+        web = server(session, 0)
+        threading.Thread(target=web.serve_forever, daemon=True).start()
+
+        def ask(path, body=None):
+            data = None if body is None else json.dumps(body).encode()
+            with urllib.request.urlopen(f"http://127.0.0.1:{web.server_port}{path}", data) as r:
+                return json.loads(r.read())
+
+        assert ask("/api/init/dataset", {"rows": 300})["rows"] == 300 and ask("/api/init/engine", {})["merged"] == 1
+        assert ask("/api/health")["segments"] == 1 and len(ask("/api/presets")) == 12 and len(ask("/api/benchmark/queries")) == 25
+        assert ask("/api/query", {"sql": "SELECT COUNT(*) FROM logs"})["value"] == 300
+        assert ask("/api/config", {"low_confidence_threshold": 7})["low_confidence_threshold"] == 7
+        assert ask("/api/live/status") == {"running": False, "rows": 0, "rows_per_second": 0.0} and ask("/api/sample?n=3")["rows"] == []
+        for path, body in (("/api/query", {"sql": "nonsense"}), ("/api/config", {"nope": 1}), ("/api/nowhere", None)):
+            with pytest.raises(urllib.error.HTTPError):
+                ask(path, body)
+        web.shutdown()
+
+
+def test_order_within_a_load(spark, tmp_path):
+    """Of equal keys in one file the last row stays, however the load is split."""
+    (tmp_path / "a.csv").write_text("k,x\n" + "".join(f"{i % 10},{i}\n" for i in range(100)))
+    store = Store(spark, str(tmp_path / "s"), TWO)
+    store.load_csv(str(tmp_path / "a.csv"))
+    store.compact()
+    assert not store.pending() and {r["k"]: r["x"] for r in store.rows().collect()} == {k: 90.0 + k for k in range(10)}
