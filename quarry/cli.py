@@ -44,13 +44,6 @@ def show(found: dict) -> str:
     return f"SCALAR: {found['value']}|{found['confidence']}" if found["type"] == "scalar" else "EMPTY"
 
 
-def by_accuracy(session: Session, accuracy: float) -> None:
-    """Statements are answered from a sample at the target's rate; a target of 1 or more is exact."""
-    rate = approx.rate_of(accuracy, session.config.k)
-    base = approx.MODES["balanced"]
-    session.mode = None if rate >= 1 else approx.Mode(f"accuracy {accuracy:g}", rate, base.compression, base.min_rows, base.target_error)
-
-
 def run(session: Session, args: argparse.Namespace) -> str:
     store = session.store
     if args.command == "gen":
@@ -65,7 +58,7 @@ def run(session: Session, args: argparse.Namespace) -> str:
         if args.aqp_mode:
             session.set_aqp_mode(args.aqp_mode)
         elif args.accuracy is not None:
-            by_accuracy(session, args.accuracy)
+            session.accuracy = args.accuracy
         return show(session.query(args.sql))
     if args.command == "compact":
         return f"{store.compact(all_deltas=args.all)} deltas merged"

@@ -144,10 +144,11 @@ def falls_back(m: Row | dict, by: Mode) -> bool:
     return m["n"] < by.min_rows
 
 
-def answer(df: DataFrame, plan: QueryPlan, by: Mode, key: str, seed: int = 42, sampled: DataFrame | None = None) -> tuple[DataFrame, Diagnostics]:
+def answer(df: DataFrame, plan: QueryPlan, by: Mode, key: str, seed: int = 42, sampled: DataFrame | None = None, sure_rows: int | None = None) -> tuple[DataFrame, Diagnostics]:
     """The approximate answer and its diagnostics; the exact answer where too few sample rows match.
 
-    sampled: a stored sample at the mode's rate; drawn from df if there is none. A scan budget is left aside.
+    sampled: a sample at the mode's rate; drawn from df if there is none. A scan budget is left aside. sure_rows: sample
+    rows from which a group is sure, in place of the mode's target error.
     """
     plan = QueryPlan(plan.aggregate, plan.table, plan.where, plan.group_by)
     rate = max(by.rate, 1e-4)
@@ -162,20 +163,20 @@ def answer(df: DataFrame, plan: QueryPlan, by: Mode, key: str, seed: int = 42, s
         return exact.answer(df, plan, key), found
     spark = df.sparkSession
     if plan.group_by is not None:
-        return groups(rows, plan, by, rate), found
+        return groups(rows, plan, by, rate, sure_rows), found
     if plan.aggregate.kind == "percentile":
         return exact.percentile(rows, plan.aggregate.column, plan.aggregate.q), found
     return spark.createDataFrame([(found.estimate,)], "value double"), found
 
 
-def groups(rows: DataFrame, plan: QueryPlan, by: Mode, rate: float) -> DataFrame:
+def groups(rows: DataFrame, plan: QueryPlan, by: Mode, rate: float, sure_rows: int | None = None) -> DataFrame:
     """key, value and confidence of each group in the sample; a group is sure from its sample count alone."""
     if plan.aggregate.kind == "percentile":
         found = exact.group_percentile(rows, plan.group_by, plan.aggregate.column, plan.aggregate.q)
     else:
         scale = 1.0 if plan.aggregate.kind == "avg" else 1 / rate
         found = rows.groupBy(F.col(f"`{plan.group_by}`").alias("key")).agg((exact.aggregate(plan.aggregate) * scale).alias("value"), F.count(F.lit(1)).alias("n"))
-    sure = F.least(F.lit(1.0), 1 / F.sqrt("n")) <= by.target_error
+    sure = F.least(F.lit(1.0), 1 / F.sqrt("n")) <= by.target_error if sure_rows is None else F.col("n") >= sure_rows
     return found.select(F.col("key").cast("string").alias("key"), "value", F.when(sure, "High").otherwise("Low").alias("confidence"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ class Session:
         self.spark, self.config = spark, config or Config()
         self.store = Store(spark, path, schema, self.config)
         self.mode = approx.mode(aqp_mode) if aqp_mode and aqp_mode != "off" else None
+        self.accuracy: float | None = None
         self.reservoir = Reservoir(1000)
         self.closed = False
 
@@ -37,7 +39,7 @@ class Session:
         self.reservoir.offer(tuple(row))
 
     def answer(self, sql: str) -> planner.Answer:
-        return planner.answer(self.store, dialect.parse(sql), self.mode)
+        return planner.answer(self.store, dialect.parse(sql), self.mode, self.accuracy)
 
     def frame(self, sql: str) -> DataFrame:
         """The answer as a DataFrame: value, or key, value and confidence."""
@@ -45,9 +47,12 @@ class Session:
 
     def query(self, sql: str) -> dict:
         """The answer as a dictionary; groups in order of their keys as text, a null key last."""
+        began = time.perf_counter()
         found = self.answer(sql)
+        planned = time.perf_counter()
         out = {"confidence": found.confidence, "rows_scanned": found.rows_scanned, "sampling_rate": found.sampling_rate, "storage_path": found.path, "warnings": list(found.warnings), "next_offset": found.next_offset, "aqp": found.aqp.as_dict() if found.aqp else None}
         got = found.rows.collect()
+        out["profile"] = {"plan_ms": round(1000 * (planned - began), 3), "execute_ms": round(1000 * (time.perf_counter() - planned), 3)}
         if found.grouped:
             groups = [{"key": r["key"], "value": r["value"], "confidence": r["confidence"]} for r in got]
             groups.sort(key=lambda g: (g["key"] is None, g["key"] or ""))

@@ -107,6 +107,13 @@ def test_sample_from_the_store(spark, tmp_path):
         got = s.query("SELECT COUNT(*) FROM logs WHERE level = 1 AND status = 2")
         assert got["aqp"]["source"] == "sample_fallback" and got["confidence"] == "Exact"
         s.set_aqp_mode("off")
+        s.store.resplit(2000)
+        s.accuracy = 0.9
+        got = s.query("SELECT COUNT(*) FROM logs WHERE level > 100")
+        assert got["storage_path"] == "SegmentSample" and 0.5 < got["sampling_rate"] <= 0.85 and got["value"] == pytest.approx(18000, rel=0.1)
+        groups = s.query("SELECT SUM(level) FROM logs WHERE level > 100 GROUP BY status")["groups"]
+        assert [g["key"] for g in groups] == ["0", "1", "2"] and {g["confidence"] for g in groups} == {"High"}
+        s.accuracy = None
         assert s.query("SELECT COUNT(*) FROM logs WHERE level > 100")["aqp"] is None
         with pytest.raises(ParseError):
             s.set_aqp_mode("precise")
