@@ -13,6 +13,8 @@ from quarry.llm import common
 
 #: Most shards of a source: what the driver holds is bounded by the number of sources times this.
 MAX_SHARDS = 1024
+#: Rows up to which a table of sources or shards is sent to every task; beyond it, a join deals the documents by source.
+MOST_BROADCAST = 50_000
 
 
 def targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
@@ -57,6 +59,10 @@ def apportion(votes, seats: int) -> np.ndarray:
     return won
 
 
+def _small(rows: list, df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if len(rows) <= MOST_BROADCAST else df
+
+
 def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
 
@@ -88,7 +94,7 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), cap: float = 3.0, block_tokens: i
     quotas = apportion(goal, round(sum(sizes) / block))
 
     sources = spark.createDataFrame([(r["source"], s, t, n) for r, s, t, n in zip(found, sizes, goal, shards)], "_source string, source_size long, target double, _shards int")
-    dealt = docs.join(sources, docs["source"].eqNullSafe(sources["_source"]), "left").withColumn("_order", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_shard", F.pmod(F.col("_order"), F.col("_shards")).cast("int"))
+    dealt = docs.join(_small(found, sources), docs["source"].eqNullSafe(sources["_source"]), "left").withColumn("_order", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_shard", F.pmod(F.col("_order"), F.col("_shards")).cast("int"))
 
     of_shard = dealt.groupBy("_source", "_shard").agg(F.sum("size").alias("size")).collect()
     by_source: dict = {}
@@ -104,7 +110,7 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), cap: float = 3.0, block_tokens: i
 
     line = Window.partitionBy("_source", "_shard").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = dealt.withColumn("_start", F.sum("size").over(line) - F.col("size"))
-    placed = placed.join(quota, placed["_source"].eqNullSafe(quota["_s"]) & (placed["_shard"] == quota["_n"]), "left").drop("_s", "_n")
+    placed = placed.join(_small(plan, quota), placed["_source"].eqNullSafe(quota["_s"]) & (placed["_shard"] == quota["_n"]), "left").drop("_s", "_n")
     rest, at = F.col("_quota") % F.col("_blocks"), F.col("_offset")
     within = lambda x: F.greatest(F.lit(0), F.least(F.col("size"), x * block - F.col("_start"))).cast("long")
     return (
