@@ -19,6 +19,8 @@ from quarry.llm import common, packed
 PERIOD, COVER = 13, (0, 1, 3, 9)
 WINDOW = 20
 ANCHOR = WINDOW - PERIOD + 1
+#: Bytes of text in a chunk: numpy holds some 30 times as much.
+CHUNK = 4 << 20
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -69,7 +71,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     other, in an order of their own; a null doc_id comes after all others. Empty table: empty result. Windows are equal if
     their 64-bit hashes are.
     """
-    chunks = packed.pack(docs)
+    chunks = packed.pack(docs, CHUNK)
     n_buckets = packed.buckets(chunks)
 
     def offer(chunk: int, body: bytes) -> list[tuple[int, int, bytes]]:
