@@ -206,7 +206,7 @@ MAX_SPLITS = 1 << 16
 _LAST = -(1 << 63)
 
 
-def in_order(docs: DataFrame, rows_each: int = 8192) -> DataFrame:
+def in_order(docs: DataFrame, rows_each: int = 2048) -> DataFrame:
     """doc_id and text of docs in partitions by descending doc_id, each part p of the order followed by a row with
     tail = true: the row that comes next in the whole order (after the last, the first)."""
     spark = docs.sparkSession
