@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: One module for each operator, in the order of the operators.
-MODULES = ("features", "langid", "mixing", "mtree", "pieces", "pii", "simhash", "suffixes", "warc", "windows")
+MODULES = ("suffixes", "windows", "langid", "mixing", "pieces", "pii", "warc", "features", "simhash", "mtree")
 
 
 def _gather(what: str) -> dict:
