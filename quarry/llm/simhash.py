@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common
 
+#: Fingerprints that a bucket may hold on average; with more, buckets get finer, at more of them for each fingerprint.
+EVEN = 256
 #: Largest bucket that one task takes whole; larger ones are split by the pigeonhole principle on their remaining bits.
 BUCKET = 4096
 _SEEDED = np.random.default_rng(9)
@@ -82,7 +84,7 @@ def blocks_for(n: int, distance: int) -> list[int]:
     from itertools import combinations
 
     m = distance + 1
-    while m < distance + 4 and n > 32 << (64 * (m - distance) // m):
+    while m < distance + 4 and n > EVEN << (64 * (m - distance) // m):
         m += 1
     edges = [64 * i // m for i in range(m + 1)]
     parts = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(m)]
