@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What the view needs of the events; named, so that no job has to look it up.
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+
+
 def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
     status = F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 1).otherwise(0)
     # event times carry no zone; as UTC whatever the session's zone is
-    at = F.unix_millis(F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz")).cast("timestamp"))
+    at = F.unix_millis(F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp"))
     return e.select(F.col("event_id").alias("user_id"), status.alias("status"), (F.col("user_id") % 5).cast("int").alias("country"), at.alias("timestamp"), F.floor("value").cast("long").alias("level"))
 
 
