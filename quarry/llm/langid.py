@@ -16,6 +16,8 @@ BUCKETS = 1 << 15
 #: The classifier is fitted on about so many labelled documents of each language, whole texts, chosen by a hash of doc_id.
 MAX_DOCS = 4000
 UNKNOWN = "und"
+#: Bytes of text that are scored at once; each takes some 40 bytes meanwhile.
+SLICE = 4 << 20
 #: Languages up to which their shares, a string and a number each, are sent to every task.
 MOST_BROADCAST = 10_000
 #: Log-probabilities are held as integers, so that sums don't depend on the order of adding.
@@ -101,7 +103,7 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model:
 
     def tally(batches):
         sums: dict = {}
-        for part in common.slices(batches):
+        for part in common.slices(batches, limit=SLICE):
             texts, of = part.column("text").to_pylist(), np.array(part.column("lang").to_pylist())
             for lang in np.unique(of):
                 own = np.flatnonzero(of == lang)
@@ -139,7 +141,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches):
         own = Model.__new__(Model)
         own.langs, own.table, own.prior = shared.value
-        for part in common.slices(batches):
+        for part in common.slices(batches, limit=SLICE):
             pred, share = own.predict(common.text_column(part).to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(share, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
