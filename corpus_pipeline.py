@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, langid, mixing, pieces, pii, simhash
+from quarry.llm import common, langid, mixing, pieces, pii, similar
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose likeliest language has a smaller posterior are rejected.
@@ -48,13 +48,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked fingerprints stays: the one with the smallest doc_id, of repeated rows any one."""
+    """One row of each group of near copies stays: the one with the smallest doc_id, of repeated rows any one.
+
+    Near copies have sets of five-word shingles with a Jaccard similarity of 0.8 at least, or are linked by others that have.
+    """
     docs = common.cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = simhash.near_duplicates(docs.withColumn("doc_id", F.col("doc_id").cast("long")), keys=("doc_id", "_row"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
-    # a component has one fingerprint's rows at least; a null component_id stands for those without any doc_id
-    stays = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).agg(first.alias("_row"))
-    return docs.join(stays.select("_row"), "_row", "left_semi").select(*COLUMNS)
+    return docs.join(similar.first_of_each(docs), "_row", "left_semi").select(*COLUMNS)
 
 
 @stage
