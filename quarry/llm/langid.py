@@ -91,7 +91,8 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """A model from columns doc_id, text, lang without nulls.
 
     Languages with at most max_docs documents give all, others the documents whose hash lies in the share that
-    max_docs is of their number, as measured over the whole table.
+    max_docs is of their number, as measured over the whole table. Of these are the n-grams; the languages' shares are
+    those of all rows.
     """
     per = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(per)
@@ -107,21 +108,19 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model:
             texts, of = part.column("text").to_pylist(), np.array(part.column("lang").to_pylist())
             for lang in np.unique(of):
                 own = np.flatnonzero(of == lang)
-                c, n = sums.get(lang, (0, 0))
-                sums[lang] = (c + count([texts[i] for i in own]), n + len(own))
-        for lang, (c, n) in sums.items():
+                sums[lang] = sums.get(lang, 0) + count([texts[i] for i in own])
+        for lang, c in sums.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([str(lang)] * (len(at) + 1)), "bucket": pa.array(np.append(at, -1), pa.int32()), "n": pa.array(np.append(c[at], n), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([str(lang)] * len(at)), "bucket": pa.array(at, pa.int32()), "n": pa.array(c[at], pa.int64())})
 
     sums = chosen.select("text", "lang").mapInArrow(tally, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     row = {x: i for i, x in enumerate(langs)}
-    counts, docs = np.zeros((len(langs), len(ORDERS) * BUCKETS), np.int64), np.zeros(len(langs), np.int64)
+    counts = np.zeros((len(langs), len(ORDERS) * BUCKETS), np.int64)
     got = sums.toArrow()
     lang = np.array([row[x] for x in got.column("lang").to_pylist()], np.int64)
     bucket, n = got.column("bucket").to_numpy(), got.column("n").to_numpy()
-    counts[lang[bucket >= 0], bucket[bucket >= 0]] = n[bucket >= 0]
-    docs[lang[bucket < 0]] = n[bucket < 0]
-    return Model(langs, counts, docs)
+    counts[lang, bucket] = n
+    return Model(langs, counts, np.array([per[x] for x in langs], np.int64))
 
 
 def labelled(docs: DataFrame) -> DataFrame:

@@ -71,6 +71,12 @@ def test_grams_stay_in_their_text():
     assert (langid.count(["abc", "xyz"]) == langid.count(["abc"]) + langid.count(["xyz"])).all()
 
 
+def test_shares_of_languages_are_of_all_rows(spark):
+    rows = [(i, "bon jour" if i % 4 == 0 else "good day", "fr" if i % 4 == 0 else "en") for i in range(400)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=20)
+    assert model.langs == ["en", "fr"] and np.exp(model.prior / langid.UNIT).round(2).tolist() == [0.75, 0.25]
+
+
 # 5: pieces
 
 
