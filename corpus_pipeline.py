@@ -34,7 +34,10 @@ def stage(f):
 
 @stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter, null texts and those of no certain language; a null lang is filled in.
+    """Rejects texts without a letter, null texts and near ties between languages; a null lang is filled in.
+
+    The score is a posterior among the learned languages, near 1 for all but very short texts, so a text in a language
+    that wasn't learned stays as a rule.
 
     Empty table: empty result. Where no row has a language to learn from, nothing can be told and all texts with a letter stay.
     """
