@@ -81,6 +81,7 @@ def main(argv: list[str] | None = None) -> int:
             elif args.command == "serve":
                 from quarry.http_api import server
 
+                session.compact_in_background()
                 server(session, args.port).serve_forever()
             else:
                 print(run(session, args))

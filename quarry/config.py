@@ -11,6 +11,11 @@ from quarry.errors import ParseError
 
 @dataclass(frozen=True)
 class Config:
+    """Names and defaults are fixed values that settings files carry.
+
+    lcs_l2_max_bytes and min_group_rows are read and not used: segments have no second level, and a group of any size is answered exactly.
+    """
+
     accuracy_target: float = 0.9
     k: float = 2.0
     aqp_mode: str = "balanced"

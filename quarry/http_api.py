@@ -3,13 +3,14 @@
     GET  /api/health  /api/config  /api/presets  /api/sample?n=10
     GET  /api/benchmark/queries  /api/benchmark/cached  /api/live/status  /api/live/sample?n=10
     POST /api/config  /api/query {"sql", "aqp_mode"}  /api/presets/run-all  /api/benchmark/run-all {"runs"}
-    POST /api/init/dataset {"rows"}  /api/init/engine  /api/live/start {"rows_per_second"}  /api/live/stop
+    POST /api/init/dataset {"rows"}  /api/init/engine (or /api/init/aqe)  /api/init/sqlite {"rows"}  /api/live/start {"rows_per_second"}  /api/live/stop
 """
 
 from __future__ import annotations
 
 import dataclasses
 import json
+import sqlite3
 import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -28,6 +29,7 @@ class Api:
         self.session, self.lock = session, threading.RLock()
         self.cached: list | None = None
         self.live = None
+        self.other: sqlite3.Connection | None = None
 
     def answer(self, sql: str, mode: str | None = None) -> dict:
         """The query's dictionary and how many milliseconds it took; mode holds for this statement alone."""
@@ -42,6 +44,27 @@ class Api:
             finally:
                 self.session.mode = before
 
+    def load_other(self, most: int) -> int:
+        """The first `most` rows of the table in key order in an SQLite database in memory, to compare answers with."""
+        with self.lock:
+            store = self.session.store
+            names = store.schema.fieldNames()
+            self.other = sqlite3.connect(":memory:", check_same_thread=False)
+            self.other.execute(f"CREATE TABLE logs ({', '.join(names)})")
+            rows = store.rows().orderBy(store.key).limit(most).toLocalIterator()
+            self.other.executemany(f"INSERT INTO logs VALUES ({', '.join('?' * len(names))})", (tuple(r) for r in rows))
+            return self.other.execute("SELECT COUNT(*) FROM logs").fetchone()[0]
+
+    def plain(self, sql: str) -> dict:
+        """SQLite's rows for the statement, and how many milliseconds they took."""
+        with self.lock:
+            began = time.perf_counter()
+            try:
+                rows = self.other.execute(sql).fetchall()
+            except sqlite3.Error as e:
+                return {"error": str(e)}
+            return {"rows": rows, "ms": round(1000 * (time.perf_counter() - began), 3)}
+
     def configure(self, changes: dict) -> dict:
         """New settings for the same store; rows in its buffer stay."""
         known = {f.name for f in dataclasses.fields(Config)}
@@ -61,7 +84,7 @@ class Api:
             case "/api/config":
                 return dataclasses.asdict(self.session.config)
             case "/api/presets":
-                return [{"id": k, "label": label, "sql": sql} for k, (label, sql) in enumerate(workloads.PRESETS, 1)]
+                return [dict(zip(("id", "label", "type", "sql"), p)) for p in workloads.PRESETS]
             case "/api/benchmark/queries":
                 return [{"name": a, "category": b, "sql": c} for a, b, c in workloads.BENCHMARKS]
             case "/api/benchmark/cached":
@@ -78,9 +101,10 @@ class Api:
             case "/api/config":
                 return self.configure(body)
             case "/api/query":
-                return self.answer(body.get("sql", ""), body.get("aqp_mode"))
+                found = self.answer(body.get("sql", ""), body.get("aqp_mode"))
+                return found | {"sqlite": self.plain(body["sql"])} if self.other else found
             case "/api/presets/run-all":
-                return [{"label": label, "sql": sql} | self.answer(sql) for label, sql in workloads.PRESETS]
+                return [{"id": k, "label": label, "kind": kind, "sql": sql} | self.answer(sql) for k, label, kind, sql in workloads.PRESETS]
             case "/api/benchmark/run-all":
                 runs = max(1, int(body.get("runs", 1)))
                 self.cached = [{"name": a, "category": b, "ms": min(self.answer(c)["ms"] for _ in range(runs))} for a, b, c in workloads.BENCHMARKS]
@@ -89,7 +113,9 @@ class Api:
                 with self.lock:
                     store = self.session.store
                     return {"rows": store.append(generator.rows(self.session.spark, int(body.get("rows", 100_000)), store.schema, store.config.seed))}
-            case "/api/init/engine":
+            case "/api/init/sqlite":
+                return {"rows": self.load_other(int(body.get("rows", 1_000_000)))}
+            case "/api/init/engine" | "/api/init/aqe":
                 with self.lock:
                     return {"merged": self.session.store.compact(all_deltas=True)}
             case "/api/live/start":

@@ -70,6 +70,17 @@ def sample(df: DataFrame, key: str, rate: float, seed: int = 42) -> DataFrame:
     return df.where(drawn(F.col(f"`{key}`"), rate, seed))
 
 
+def group_counts(df: DataFrame, key: str, by: str, rate: float, seed: int = 42) -> DataFrame:
+    """key, n (rows of the sample) and rows (of all) of each group."""
+    inside = F.count_if(drawn(F.col(f"`{key}`"), rate, seed)).alias("n")
+    return df.groupBy(F.col(f"`{by}`").cast("string").alias("key")).agg(inside, F.count("*").alias("rows"))
+
+
+def effective_rate(rates: list[float]) -> float:
+    """The mean of the rates of the segments that were asked, each at least 0.0001."""
+    return sum(max(r, 1e-4) for r in rates) / len(rates) if rates else 1.0
+
+
 def segment_sample(segments: list[tuple[str, int]], rate: float, seed: int = 42) -> list[str]:
     """Distinct segments drawn by row count: the highest log(u)/w keys, with u from a hash of seed and name."""
     import hashlib

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +11,9 @@ from pyspark.sql import types as T
 
 from quarry.config import Config
 from quarry.functions import workloads
-from quarry.operators import approx, digest, exact
+from quarry.operators import approx, bitmaps, digest, exact
 from quarry.plans import dialect, planner
-from quarry.sources import generator, logs, store
+from quarry.sources import generator, logs, scratch, store
 from quarry.streaming import ingest
 
 LOGS = f"WITH logs AS {logs.SQL} "
@@ -58,7 +57,7 @@ STATEMENTS = {
     "offset_count": "SELECT COUNT(*) FROM logs WHERE status = 0 OFFSET 500",
 }
 #: Exact percentiles: filter and quantile.
-PERCENTILES = {"pctl_exact_p50": ("", 0.5), "pctl_exact_p95": ("", 0.95), "pctl_filtered_exact": (" WHERE status = 0", 0.95), "pctl_exact_q0": ("", 0.0), "pctl_exact_q1": ("", 1.0)}
+PERCENTILES = {"pctl_exact_p50": ("", 0.5), "pctl_exact_p95": ("", 0.95), "pctl_filtered_exact": (" WHERE status = 0", 0.95), "pctl_exact_q0": ("", 0.0), "pctl_exact_q1": ("", 1.0), "preset_12": ("", 0.95)}
 AQP = {
     "aqp_count": ("SELECT COUNT(*) FROM logs", "balanced"),
     "aqp_sum": ("SELECT SUM(level) FROM logs", "balanced"),
@@ -67,7 +66,7 @@ AQP = {
 }
 
 
-STATEMENTS |= {f"preset_{k:02d}": sql for k, (_, sql) in enumerate(workloads.PRESETS, 1) if "PERCENTILE" not in sql}
+STATEMENTS |= {f"preset_{k:02d}": sql for k, _, kind, sql in workloads.PRESETS if kind != "approx_percentile"}
 STATEMENTS |= {f"bench_{name.lower()}": sql for name, _, sql in workloads.BENCHMARKS}
 
 
@@ -185,19 +184,24 @@ _CENTROIDS = """c AS (
 
 
 def hll_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values, and whether the estimate from the segments' sketches is within 5 % of them."""
     rows = logs.read(spark, sf_dir).withColumn("segment", F.floor(F.col("user_id") / 2500))
-    return digest.distinct_estimate(digest.distinct_sketch(rows, "level", "segment"))
+    estimate = digest.distinct_estimate(digest.distinct_sketch(rows, "timestamp", "segment")).first()["value"]
+    return rows.agg(F.countDistinct("timestamp").alias("different")).withColumn("within", F.abs(F.lit(estimate) - F.col("different")) <= 0.05 * F.col("different"))
 
 
 def _store(spark: SparkSession, sf_dir: str, **settings) -> store.Store:
     """A store of its own with the logs view's rows, compacted into segments."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
-    own = store.Store(spark, f"{base}/store-{uuid.uuid4().hex}", config=Config(**settings))
+    own = _empty_store(spark, **settings)
     own.append(logs.read(spark, sf_dir))
     own.compact(all_deltas=True)
     return own
 
 
+def _empty_store(spark: SparkSession, schema: T.StructType | None = None, **settings) -> store.Store:
+    return store.Store(spark, f"{scratch.folder(spark)}/store-{uuid.uuid4().hex}", schema, Config(**settings))
+
+
 def over_store(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _store(spark, sf_dir, max_segment_rows=100_000)
     return planner.answer(own, dialect.parse(sql)).rows
@@ -239,7 +243,7 @@ def csv_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written as CSV with the columns in another order, loaded, compacted, and answered from kept sums."""
     from quarry.schema import LOGS as LOGS_SCHEMA
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
+    base = scratch.folder(spark)
     path = f"{base}/csv-{uuid.uuid4().hex}"
     logs.read(spark, sf_dir).select("level", "user_id", "country", "status").write.option("header", True).csv(path)
     own = store.Store(spark, f"{base}/store-{uuid.uuid4().hex}", LOGS_SCHEMA)
@@ -254,21 +258,155 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments drawn by rows: as many, and all different."""
-    drawn = approx.segment_sample([(f"s{i}", 100 + i) for i in range(40)], 0.25)
-    return spark.createDataFrame([(len(drawn), len(set(drawn)))], "drawn long, different long")
+    """A quarter of the segments of 250 keys, drawn by rows."""
+    rows = logs.read(spark, sf_dir).groupBy(F.concat(F.lit("s"), F.floor(F.col("user_id") / 250).cast("string")).alias("segment")).agg(F.count("*").alias("rows"))
+    every = {r["segment"]: r["rows"] for r in rows.collect()}
+    return spark.createDataFrame([(x, every[x]) for x in approx.segment_sample(list(every.items()), 0.25)], "segment string, rows long")
 
 
 def reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows the reservoir has seen and holds, how many of these differ, and how many are rows of the table."""
     r = ingest.Reservoir(100, seed=1)
     rows = logs.read(spark, sf_dir)
     r.offer_all(rows, rows.count(), 7)
-    return spark.createDataFrame(r.sample(), rows.schema)
+    held = spark.createDataFrame(r.sample(), rows.schema)
+    own = held.join(rows, rows.columns, "left_semi")
+    return held.agg(F.lit(r.total).cast("long").alias("seen"), F.count("*").alias("held"), F.countDistinct("user_id").alias("different")).crossJoin(own.agg(F.count("*").alias("members")))
+
+
+def recompacted(where: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of few values in some segments and of many in others; then segments of many get one value and are compacted anew."""
+    rows = logs.read(spark, sf_dir).withColumn("level", F.when(F.col("user_id") < 2000, F.col("user_id") % 5).otherwise(F.col("user_id")))
+    own = _empty_store(spark, max_segment_rows=1000)
+    own.append(rows)
+    own.compact(all_deltas=True)
+    own.append(rows.where("user_id BETWEEN 2000 AND 3999").withColumn("level", F.lit(1)))
+    own.compact(all_deltas=True)
+    return planner.answer(own, dialect.parse(f"SELECT COUNT(*) FROM logs {where}")).rows
+
+
+_RECOMPACTED = "n AS (SELECT * REPLACE (CASE WHEN user_id < 2000 THEN user_id % 5 WHEN user_id < 4000 THEN 1 ELSE user_id END AS level) FROM logs)"
+OPERATORS = (">", "<", ">=", "<=", "=")
+
+
+def nan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaN, which is above every number, and nulls in segments that bounds may leave out."""
+    from quarry.schema import declared
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    x = F.when(F.col("event_id") % 7 == 0, float("nan")).when(F.col("event_id") % 11 == 0, None).otherwise(F.floor("value"))
+    own = _empty_store(spark, declared([("k", "u64"), ("x", "f64")]), max_segment_rows=1000)
+    own.append(events.select(F.col("event_id").alias("k"), x.alias("x")))
+    own.compact(all_deltas=True)
+    out = None
+    for op in OPERATORS:
+        part = planner.answer(own, dialect.parse(f"SELECT COUNT(*) FROM t WHERE x {op} 50")).rows.withColumn("op", F.lit(op))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def store_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The percentile without a filter from several segments' digests: the way taken, the exact value, and whether the digest's rank is within 0.02."""
+    own = _store(spark, sf_dir, max_segment_rows=2000)
+    found = planner.answer(own, dialect.parse("SELECT APPROX_PERCENTILE(level, 0.95) FROM logs"))
+    value, rows = found.rows.first()["value"], own.rows()
+    below, upto = rows.agg(F.avg((F.col("level") < value).cast("int")), F.avg((F.col("level") <= value).cast("int"))).first()
+    return exact.percentile(rows, "level", 0.95).select(F.lit(found.path).alias("path"), F.col("value").alias("exact"), F.lit(below <= 0.97 and upto >= 0.93).alias("close"))
+
+
+def store_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The percentile with a filter, which comes from the baked sample."""
+    found = planner.answer(_store(spark, sf_dir, max_segment_rows=2000), dialect.parse("SELECT APPROX_PERCENTILE(level, 0.9) FROM logs WHERE status = 0"))
+    return found.rows.withColumn("path", F.lit(found.path))
+
+
+def baked_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir, max_segment_rows=2000).side("sample").select("user_id", "level")
+
+
+def resplit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and sum after segments were cut anew, whether there are as many as asked for, and whether none overlaps the next."""
+    own = _store(spark, sf_dir)
+    n = own.resplit(max_rows=300)
+    spans = sorted((s.stats["user_id"]["least"], s.stats["user_id"]["greatest"]) for s in own.manifest.segments)
+    apart = all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    rows = sum(s.rows for s in own.manifest.segments)
+    return own.rows().agg(F.count("*").alias("n"), F.sum("level").alias("total"), F.lit(apart).alias("apart"), F.lit(0.8 * rows / 300 <= n <= 1.25 * rows / 300 + 1).alias("as_asked"))
+
+
+def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas that each strategy merges when there are three, and four, of like size; and the rows after."""
+    out = []
+    for strategy in ("stcs", "lcs"):
+        own = _empty_store(spark, lcs_l1_max_bytes=1 << 40)
+        rows = logs.read(spark, sf_dir)
+        for k in range(4):
+            own.append(rows.where(F.col("user_id") % 4 == k), 1)
+            if k >= 2:
+                out.append((strategy, k + 1, own.compact(strategy), own.rows().count()))
+    return spark.createDataFrame(out, "strategy string, deltas int, merged int, rows long")
+
+
+def pending_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan budget over segments, a delta over some of their keys, and a buffered row."""
+    own = _store(spark, sf_dir, max_segment_rows=2000)
+    own.append(logs.read(spark, sf_dir).where(F.col("user_id") % 10 == 0).withColumn("level", F.col("level") + 1000))
+    own.insert([0, 0, 0, 0, 5000])
+    return planner.answer(own, dialect.parse("SELECT SUM(level) FROM logs WHERE level > 50 LIMIT 300 OFFSET 100")).rows
+
+
+def by_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = planner.answer(_store(spark, sf_dir), dialect.parse("SELECT COUNT(*) FROM logs WHERE level > 20"), accuracy=0.9)
+    return found.rows.select(F.round("value", 6).alias("value"), F.lit(found.path).alias("path"), F.lit(found.sampling_rate).alias("rate"))
+
+
+def sampled_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return approx.group_counts(logs.read(spark, sf_dir), "user_id", "country", 0.05)
+
+
+def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest keeps of a column."""
+    (s,) = _store(spark, sf_dir).manifest.segments
+    x = s.stats["level"]
+    row = (s.rows, x["n_values"], x["sum"], round(x["variance"], 4), x["least"], x["greatest"])
+    return spark.createDataFrame([row], "n long, n_values long, total double, variance double, least long, greatest long")
+
+
+def bitmap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OR from a union of bitmaps; AND and NOT from counts of unions."""
+    a, b = ("status", "0"), ("country", "1")
+    found = bitmaps.index(logs.read(spark, sf_dir), "user_id", ["status", "country"])
+    n = bitmaps.union_counts(found, {"a": [a], "b": [b], "or": [a, b], "all": [("status", str(k)) for k in range(3)]})
+    of = lambda t: F.sum(F.when(F.col("term") == t, F.col("n")))
+    return n.agg(of("or").alias("n_or"), (of("a") + of("b") - of("or")).alias("n_and"), (of("all") - of("a")).alias("n_not"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of five pages, each from where the one before says the next begins."""
+    out, offset = [], 0
+    for k in range(5):
+        plan = dialect.parse(f"SELECT SUM(level) FROM logs WHERE level > 50 LIMIT 40 OFFSET {offset}")
+        out.append((k, exact.answer(logs.read(spark, sf_dir), plan, "user_id").first()["value"]))
+        offset = plan.next_offset
+    return spark.createDataFrame(out, "page int, value double")
+
+
+def wide_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Too many groups to be estimated, so the answer is exact in an approximate mode too."""
+    return planner.answer(_store(spark, sf_dir), dialect.parse("SELECT COUNT(*) FROM logs GROUP BY timestamp"), approx.MODES["balanced"]).rows
+
+
+def flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """250 rows, one at a time, into a buffer of 100."""
+    own = _empty_store(spark, memtable_row_limit=100, memtable_size_limit=1 << 30)
+    for r in logs.read(spark, sf_dir).orderBy("user_id").limit(250).collect():
+        own.insert(list(r))
+    return own.rows().agg(F.lit(len(own.manifest.deltas)).alias("deltas"), F.lit(len(own.buffer)).alias("buffered"), F.count("*").alias("n"), F.sum("level").alias("total"))
 
 
 def streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events streamed into a store by micro-batches, then counted by status."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
+    base = scratch.folder(spark)
     run = uuid.uuid4().hex
     own = store.Store(spark, f"{base}/store-{run}", config=Config(min_compaction_files=2))
     rows = logs.read(spark, sf_dir)
@@ -290,6 +428,11 @@ def queries() -> dict:
         "hll_distinct": hll_distinct, "segment_stats": segment_stats, "group_stats": group_stats, "range_blocks": range_blocks,
         "dedup_latest": dedup_latest, "layer_merge_avg": layered, "csv_load_group_sum": csv_round, "generated_shares": generated,
         "segment_sample": segment_sampling, "reservoir_sample": reservoir, "streaming_ingest_count": streaming,
+        "store_recompacted_groups": functools.partial(recompacted, "GROUP BY level"), "store_recompacted_eq": functools.partial(recompacted, "WHERE level = 3"),
+        "store_nan_filter": nan_filter, "store_pctl_digest": store_digest, "store_pctl_sample": store_sample, "store_baked_sample": baked_sample,
+        "store_resplit": resplit, "compaction_picks": picks, "pending_limit_offset": pending_budget, "store_accuracy_count": by_accuracy,
+        "sample_group_counts": sampled_groups, "store_statistics": statistics, "bitmap_counts": bitmap_counts, "paged_sums": pages,
+        "store_wide_groups": wide_groups, "buffer_flush": flushes,
     }
 
 
@@ -317,6 +460,25 @@ def oracle_sql() -> dict:
     out["layer_merge_avg"] = f"{LOGS}, n AS (SELECT CASE WHEN user_id = 0 THEN 0 ELSE country END AS country, CASE WHEN user_id = 0 THEN 5000 WHEN user_id % 10 = 0 THEN level + 1000 ELSE level END AS level FROM logs) SELECT CAST(country AS VARCHAR) AS key, round(sum(level)::DOUBLE / count(*), 6) AS value, 'Exact' AS confidence FROM n GROUP BY country"
     out["csv_load_group_sum"] = statement_sql("SELECT SUM(level) FROM logs GROUP BY status")
     out["generated_shares"] = "SELECT * FROM (VALUES (CAST(0 AS INTEGER), 0.7::DOUBLE), (1, 0.2::DOUBLE), (2, 0.1::DOUBLE)) t(status, share)"
-    out["segment_sample"] = "SELECT CAST(10 AS BIGINT) AS drawn, CAST(10 AS BIGINT) AS different"
+    out["segment_sample"] = f"{LOGS}, s AS (SELECT 's' || (user_id // 250) AS segment, count(*) AS rows FROM logs GROUP BY 1), k AS (SELECT segment, rows, row_number() OVER (ORDER BY -ln(least((CAST('0x' || substr(md5('42|' || segment), 1, 13) AS BIGINT) + 1) / 4503599627370496.0::DOUBLE, 1 - 1e-16)) / rows, segment) AS pos, count(*) OVER () AS n FROM s) SELECT segment, rows FROM k WHERE pos <= greatest(1, floor(0.25 * n))"
+    out["hll_distinct"] = f"{LOGS}SELECT count(DISTINCT timestamp) AS different, TRUE AS within FROM logs"
+    out["reservoir_sample"] = f"{LOGS}SELECT count(*) AS seen, least(100, count(*)) AS held, least(100, count(*)) AS different, least(100, count(*)) AS members FROM logs"
+    out["store_recompacted_groups"] = f"{LOGS}, {_RECOMPACTED} SELECT CAST(level AS VARCHAR) AS key, CAST(count(*) AS DOUBLE) AS value, 'Exact' AS confidence FROM n GROUP BY level"
+    out["store_recompacted_eq"] = f"{LOGS}, {_RECOMPACTED} SELECT CAST(count(*) AS DOUBLE) AS value FROM n WHERE level = 3"
+    nan = "(SELECT CASE WHEN event_id % 7 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 11 = 0 THEN NULL ELSE floor(value) END AS x FROM events)"
+    out["store_nan_filter"] = " UNION ALL ".join(f"SELECT '{op}' AS op, CAST(count(*) AS DOUBLE) AS value FROM {nan} WHERE x {op} 50" for op in OPERATORS)
+    out["store_pctl_digest"] = f"SELECT 'Digest' AS path, value AS exact, TRUE AS close FROM ({percentile_sql('', 0.95)})"
+    out["store_pctl_sample"] = f"{LOGS}, r AS ({_sampled('balanced')}), s AS (SELECT list_sort(list(CAST(level AS DOUBLE))) AS v FROM r WHERE status = 0) SELECT v[CAST(floor(0.9 * (len(v) - 1) + 0.5) AS BIGINT) + 1] AS value, 'Sample' AS path FROM s"
+    out["store_baked_sample"] = out["hash_sample_rows"]
+    out["store_resplit"] = f"{LOGS}SELECT count(*) AS n, CAST(sum(level) AS BIGINT) AS total, TRUE AS apart, TRUE AS as_asked FROM logs"
+    out["compaction_picks"] = f"{LOGS}SELECT strategy, deltas, CASE WHEN deltas = 4 THEN 4 ELSE 0 END AS merged, (SELECT count(*) FROM logs WHERE user_id % 4 < deltas) AS rows FROM (VALUES ('stcs', 3), ('stcs', 4), ('lcs', 3), ('lcs', 4)) t(strategy, deltas)"
+    out["pending_limit_offset"] = f"{LOGS}, n AS (SELECT user_id, CASE WHEN user_id = 0 THEN 5000 WHEN user_id % 10 = 0 THEN level + 1000 ELSE level END AS level FROM logs) SELECT CAST(sum(level) AS DOUBLE) AS value FROM (SELECT level FROM n WHERE level > 50 ORDER BY user_id LIMIT 300 OFFSET 100)"
+    out["store_accuracy_count"] = f"{LOGS}SELECT round(count(*) / 0.9, 6) AS value, 'SegmentSample' AS path, 0.9::DOUBLE AS rate FROM logs WHERE level > 20 AND CAST('0x' || substr(md5('42|' || user_id), 1, 8) AS BIGINT) % 1000 < 900"
+    out["sample_group_counts"] = f"{LOGS}SELECT CAST(country AS VARCHAR) AS key, count(*) FILTER (WHERE CAST('0x' || substr(md5('42|' || user_id), 1, 8) AS BIGINT) % 1000 < 50) AS n, count(*) AS rows FROM logs GROUP BY country"
+    out["store_statistics"] = f"{LOGS}SELECT count(*) AS n, count(level) AS n_values, CAST(sum(level) AS DOUBLE) AS total, round(var_pop(level), 4) AS variance, min(level) AS least, max(level) AS greatest FROM logs"
+    out["bitmap_counts"] = f"{LOGS}SELECT CAST(count(*) FILTER (WHERE status = 0 OR country = 1) AS BIGINT) AS n_or, CAST(count(*) FILTER (WHERE status = 0 AND country = 1) AS BIGINT) AS n_and, CAST(count(*) FILTER (WHERE NOT status = 0) AS BIGINT) AS n_not FROM logs"
+    out["paged_sums"] = f"{LOGS}, n AS (SELECT level, row_number() OVER (ORDER BY user_id) - 1 AS pos FROM logs WHERE level > 50) SELECT CAST(pos // 40 AS INTEGER) AS page, CAST(sum(level) AS DOUBLE) AS value FROM n WHERE pos < 200 GROUP BY 1"
+    out["store_wide_groups"] = f"{LOGS}SELECT CAST(timestamp AS VARCHAR) AS key, CAST(count(*) AS DOUBLE) AS value, 'Exact' AS confidence FROM logs GROUP BY timestamp"
+    out["buffer_flush"] = f"{LOGS}SELECT 2 AS deltas, 50 AS buffered, count(*) AS n, CAST(sum(level) AS BIGINT) AS total FROM (SELECT level FROM logs ORDER BY user_id LIMIT 250)"
     out["streaming_ingest_count"] = statement_sql("SELECT COUNT(*) FROM logs GROUP BY status")
     return out

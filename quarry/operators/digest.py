@@ -47,28 +47,46 @@ def quantile(digest: list[Centroid], q: float) -> float | None:
     return digest[-1][0]
 
 
-def percentile(found: DataFrame, q: float, compression: int) -> DataFrame:
-    """The quantile over all segments' centroids, as one row; none if there is no centroid.
-
-    Segments merge one at a time in order of their number, as the answer depends on it; one task streams over the
-    centroids, of which a segment has a bounded number, and holds two digests at a time.
+def _fold(batches, compression: int) -> list[Centroid]:
+    """Digests merged one at a time in order of their numbers, by which the rows come; two are held at once."""
+    total: list[Centroid] = []
+    now, own = None, []
+    for b in batches:
+        for number, mean, weight in zip(*(b.column(c).to_pylist() for c in ("number", "mean", "weight"))):
+            if number != now and own:
+                total, own = merge(total, own, compression) if total else own, []
+            now = number
+            own.append((mean, weight))
+    return (merge(total, own, compression) if total else own) if own else total
+
+
+def merged(found: DataFrame, compression: int, width: int = 256) -> DataFrame:
+    """number, mean and weight of at most `width` digests that hold all segments' centroids.
+
+    The answer depends on the order of merging, so that is fixed: runs of `width` digests in order of their numbers merge into one, again until few are
+    left. A task holds two digests, and each round leaves a 256th of them.
     """
+    found = found.select(F.col("segment").cast("long").alias("number"), "mean", "weight")
+
+    def fold(key, rows):
+        got = _fold(rows.sort_by([("number", "ascending"), ("mean", "ascending")]).to_batches(), compression)
+        return pa.table({"number": pa.array([key[0].as_py()] * len(got), pa.int64()), "mean": pa.array([m for m, _ in got], pa.float64()), "weight": pa.array([w for _, w in got], pa.float64())})
+
+    low, high = found.agg(F.min("number"), F.max("number")).first()
+    while low is not None and high - low >= width:
+        found = found.withColumn("run", F.expr(f"number div {width}")).groupBy("run").applyInArrow(fold, "number long, mean double, weight double")
+        low, high = low // width, high // width
+    return found
+
+
+def percentile(found: DataFrame, q: float, compression: int) -> DataFrame:
+    """The quantile over all segments' centroids, as one row; none if there is no centroid."""
 
     def run(batches):
-        total: list[Centroid] = []
-        now, own = None, []
-        for b in batches:
-            for segment, mean, weight in zip(*(b.column(c).to_pylist() for c in ("segment", "mean", "weight"))):
-                if segment != now and own:
-                    total, own = merge(total, own, compression) if total else own, []
-                now = segment
-                own.append((mean, weight))
-        if own:
-            total = merge(total, own, compression) if total else own
-        value = quantile(total, q)
+        value = quantile(_fold(batches, compression), q)
         yield pa.RecordBatch.from_pydict({"value": pa.array([] if value is None else [value], pa.float64())})
 
-    return found.select("segment", "mean", "weight").repartition(1).sortWithinPartitions("segment", "mean").mapInArrow(run, "value double")
+    return merged(found, compression).repartition(1).sortWithinPartitions("number", "mean").mapInArrow(run, "value double")
 
 
 def distinct_sketch(df: DataFrame, column: str, by: str | None = None) -> DataFrame:

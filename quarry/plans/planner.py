@@ -26,6 +26,7 @@ class Answer:
     warnings: list[str] = field(default_factory=list)
     aqp: approx.Diagnostics | None = None
     next_offset: int | None = None
+    segments_read: int = 0
 
 
 def answer(store: Store, plan: QueryPlan, mode: approx.Mode | None = None, accuracy: float | None = None) -> Answer:
@@ -54,13 +55,14 @@ def answer(store: Store, plan: QueryPlan, mode: approx.Mode | None = None, accur
     if mode is None and plan.aggregate.kind == "percentile" and not budget:
         mode = approx.MODES["balanced"]
     if mode is not None and not budget and store.manifest.segments and _few_groups(store, plan):
-        stored = store.side("sample").select(*store.schema.fieldNames()) if settled and mode.rate == store.manifest.sample_rate else None
+        stored = store.side("sample").select(*store.schema.fieldNames()) if settled and all(s.rate == mode.rate for s in store.manifest.segments) else None
         rows, d = approx.answer(store.rows(), plan, mode, store.key, store.config.seed, stored)
-        return Answer(rows, "Sample" if d.source == "segment_sample" else "Scan", plan.group_by is not None, d.sample_rows, d.sample_rate, d.confidence, d.warnings, d)
+        rate = approx.effective_rate([s.rate for s in store.manifest.segments]) if stored is not None else d.sample_rate
+        return Answer(rows, "Sample" if d.source == "segment_sample" else "Scan", plan.group_by is not None, d.sample_rows, rate, d.confidence, d.warnings, d)
     pruned = [s for s in store.manifest.segments if predicate.may_match(plan.where, bounds(s), store.schema)]
     rows = exact.answer(store.rows(pruned), plan, store.key)
     scanned = sum(s.rows for s in pruned) + sum(d.rows for d in store.manifest.deltas) + len(store.buffer)
-    return Answer(rows, "Scan", plan.group_by is not None, scanned, next_offset=plan.next_offset)
+    return Answer(rows, "Scan", plan.group_by is not None, scanned, next_offset=plan.next_offset, segments_read=len(pruned))
 
 
 def _by_accuracy(store: Store, plan: QueryPlan, accuracy: float) -> Answer:
@@ -107,11 +109,10 @@ def _sums_by_value(store: Store, plan: QueryPlan) -> Answer | None:
     if plan.where is not None and not (isinstance(plan.where, Compare) and plan.where.op == "="):
         return None
     column = plan.group_by or plan.where.column
-    kept = store.side("groups")
-    if not all(s.stats[column]["distinct"] <= 1.1 * approx.MOST_GROUPS for s in store.manifest.segments):
+    if not all(column in s.kept for s in store.manifest.segments):
         return None
     kind = store.schema[column].dataType
-    own = kept.where(F.col("column") == column)
+    own = store.side("groups").where(F.col("column") == column)
     if a.kind == "count":
         value = F.sum("rows").cast("double")
     elif a.kind == "sum":

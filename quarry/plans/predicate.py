@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +68,8 @@ def may_match(p: Predicate | None, bounds: dict, schema: T.StructType) -> bool:
                 return True
             if bounds[name] is None:
                 return False
-            (low, high), value = bounds[name], literal(text, field(schema, name).dataType)
+            low, high = (math.inf if x != x else x for x in bounds[name])  # NaN is above every number
+            value = literal(text, field(schema, name).dataType)
             return {"=": low <= value <= high, ">": high > value, "<": low < value, ">=": high >= value, "<=": low <= value}[op]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from quarry.errors import ParseError
 
-#: Type words of declared schemas. Spark has no unsigned types, so each goes to one that holds its values.
+#: Type words of declared schemas. Spark has no unsigned types, so each goes to one that holds its values; u64 up to 2^63 - 1, beyond which a load fails.
 TYPES = {
     "u64": T.LongType, "i64": T.LongType, "u32": T.LongType, "i32": T.IntegerType, "u16": T.IntegerType,
     "i16": T.IntegerType, "u8": T.ShortType, "i8": T.ShortType, "f64": T.DoubleType, "f32": T.FloatType,
@@ -32,7 +32,3 @@ def load(path: str | Path) -> T.StructType:
 
 #: The table that the reference workloads query.
 LOGS = declared([("user_id", "u64"), ("status", "u8"), ("country", "u8"), ("timestamp", "u64"), ("level", "i64")])
-
-
-def is_numeric(kind: T.DataType) -> bool:
-    return isinstance(kind, (T.NumericType, T.BooleanType)) and not isinstance(kind, T.BooleanType)

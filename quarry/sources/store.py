@@ -2,10 +2,11 @@
 
 Layout under the table's folder (any path that Spark can write):
 
-    manifest.json                 what belongs to the table; replaced as a whole, so a reader sees all of a change or none
+    manifest/N.json               what belongs to the table after change N; a number is taken once, so of two writers one fails, and a reader sees all of
+                                  a change or none
     delta/B/                      Parquet files of one flush or load, with the sequence number of each row
     segments/V/segment_id=N/      Parquet files sorted by primary key, disjoint in it
-    groups/V, sample/V, digest/V  per segment: sums by value, the baked row sample, quantile centroids and distinct sketches
+    groups/S, sample/S, digest/S  per segment: sums by value, the baked row sample and quantile centroids
 
 Rows with the same primary key replace each other: the newest stays, that of the latest delta and, in it, of the last row. Compaction merges deltas with the
 segments whose key range they touch, so segments never overlap and a query over them alone needs no deduplication.
@@ -15,20 +16,27 @@ from __future__ import annotations
 
 import json
 import threading
-from dataclasses import asdict, dataclass, field
+import uuid
+from dataclasses import asdict, dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry import schema as schemas
 from quarry.config import Config
-from quarry.errors import StorageError
+from quarry.errors import StorageError, Unsupported
 from quarry.operators import approx, digest
 
 #: Place of a row: which delta it came in (segments before all, the buffer after all), and where in it.
 LAYER, SEQ = "_layer", "_seq"
 _BUFFER = 1 << 62
+#: Side tables up to which segments of different compactions keep their own; with more they are merged into one.
+MOST_SIDES = 16
+SIDES = ("groups", "sample", "digest")
 
 
 @dataclass
@@ -44,11 +52,15 @@ class Segment:
     id: int
     version: str
     rows: int
-    stats: dict[str, dict]  # column: n, n_values, sum, least, greatest, distinct
+    stats: dict[str, dict]  # column: n_values, sum, variance, least, greatest, distinct
+    kept: list[str] = field(default_factory=list)  # columns whose sums by value are kept
+    side: str = ""  # where the side tables' rows of this segment lie
+    rate: float = 0.05  # of the baked sample
 
 
 @dataclass
 class Manifest:
+    number: int = 0
     schema: list[tuple[str, str]] = field(default_factory=list)
     next_delta: int = 0
     next_segment: int = 0
@@ -88,16 +100,19 @@ class Store:
         self.spark, self.path, self.config = spark, path.rstrip("/"), config or Config()
         self._lock = threading.RLock()
         self.buffer: dict = {}
-        text = self._read_text("manifest.json")
-        if text:
-            self.manifest = Manifest.read(text)
+        number = max(self._numbers(), default=0)
+        if number:
+            self.manifest = Manifest.read(self._read_text(f"manifest/{number:012d}.json"))
             self.schema = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in self.manifest.schema))
             if schema is not None and schema.simpleString() != self.schema.simpleString():
                 raise StorageError(f"the store holds {self.schema.simpleString()}")
         else:
             self.schema = schema or schemas.LOGS
+            for f in self.schema:
+                if not isinstance(f.dataType, (T.IntegralType, T.DoubleType, T.FloatType, T.StringType)):
+                    raise Unsupported(f"{f.name}: columns of type {f.dataType.simpleString()} are not stored")
             by = approx.MODES.get(self.config.aqp_mode, approx.MODES["balanced"])
-            self.manifest = Manifest([(f.name, f.dataType.simpleString()) for f in self.schema], sample_rate=by.rate, compression=by.compression)
+            self.manifest = Manifest(0, [(f.name, f.dataType.simpleString()) for f in self.schema], sample_rate=by.rate, compression=by.compression)
         self.key = self.config.primary_key or self.schema.fieldNames()[0]
         if self.key not in self.schema.fieldNames():
             raise StorageError(f"no column {self.key} to be the primary key")
@@ -109,27 +124,38 @@ class Store:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _read_text(self, name: str) -> str | None:
+    def _read_text(self, name: str) -> str:
         fs, path = self._fs(name)
-        if not fs.exists(path):
-            return None
         stream = fs.open(path)
         try:
             return str(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def _numbers(self) -> list[int]:
+        fs, path = self._fs("manifest")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return [int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith(".")]
+
     def _commit(self) -> None:
-        """The manifest goes to a file of its own and takes the old one's place in one step."""
-        fs, new = self._fs("manifest.json.new")
-        _, old = self._fs("manifest.json")
+        """The manifest is written aside and takes the next number in one step, which fails if another writer has taken it."""
+        self.manifest.number += 1
+        fs, new = self._fs(f"manifest/.{uuid.uuid4().hex}")
+        _, to = self._fs(f"manifest/{self.manifest.number:012d}.json")
         stream = fs.create(new, True)
         stream.write(bytearray(json.dumps(asdict(self.manifest)).encode()))
         stream.close()
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(new, old, options)
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(new, to, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            fs.delete(new, False)
+            self.manifest = Manifest.read(self._read_text(f"manifest/{max(self._numbers()):012d}.json"))
+            raise StorageError("another writer has changed the table meanwhile; this change is dropped") from e
+        for number in self._numbers():
+            if number < self.manifest.number - 4:
+                self._delete(f"manifest/{number:012d}.json")
 
     def _size(self, name: str) -> tuple[int, int]:
         """Bytes and number of the data files in a folder."""
@@ -149,7 +175,7 @@ class Store:
     def append(self, rows: DataFrame, files: int | None = None) -> int:
         """A delta of the rows, in one piece or none. Their order decides which of equal keys stays."""
         with self._lock:
-            name = f"{self.manifest.next_delta:06d}"
+            name = f"{self.manifest.next_delta:06d}-{uuid.uuid4().hex[:8]}"
             rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema]).withColumn(SEQ, F.monotonically_increasing_id())
             if files:
                 rows = rows.repartition(files)
@@ -195,7 +221,7 @@ class Store:
     # reading
 
     def _delta(self, name: str) -> DataFrame:
-        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField(SEQ, T.LongType())])).parquet(f"{self.path}/delta/{name}").withColumn(LAYER, F.lit(int(name)).cast("long"))
+        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField(SEQ, T.LongType())])).parquet(f"{self.path}/delta/{name}").withColumn(LAYER, F.lit(int(name.split("-")[0])).cast("long"))
 
     def pending(self) -> bool:
         return bool(self.manifest.deltas or self.buffer)
@@ -212,7 +238,7 @@ class Store:
         own = self.manifest.segments if segments is None else segments
         versions: dict[str, list[int]] = {}
         for s in own:
-            versions.setdefault(s.version, []).append(s.id)
+            versions.setdefault(s.side or s.version, []).append(s.id)
         out = None
         for version, ids in sorted(versions.items()):
             part = self.spark.read.parquet(f"{self.path}/{kind}/{version}").where(F.col("segment_id").isin(ids))
@@ -229,7 +255,8 @@ class Store:
         if not self.pending():
             return base
         new = self._pending_rows()
-        return base.join(new.select(self.key), self.key, "left_anti").select(*self.schema.fieldNames()).unionByName(new)
+        keys = new.select(F.col(f"`{self.key}`").alias("_newer"))
+        return base.join(keys, F.col(f"`{self.key}`").eqNullSafe(F.col("_newer")), "left_anti").unionByName(new)
 
     # maintenance
 
@@ -257,12 +284,19 @@ class Store:
                 if d.name in chosen:
                     part = self._delta(d.name)
                     rows = part if rows is None else rows.unionByName(part)
-            low, high = rows.agg(F.min(self.key), F.max(self.key)).first()
-            touched = [s for s in self.manifest.segments if s.stats[self.key]["least"] is None or low is None or not (s.stats[self.key]["greatest"] < low or s.stats[self.key]["least"] > high)]
+            low, high, bare = rows.agg(F.min(self.key), F.max(self.key), F.count_if(F.col(self.key).isNull())).first()
+            touched = [s for s in self.manifest.segments if self._meets(s, low, high, bool(bare))]
             old = self.segment_rows(touched).withColumns({SEQ: F.lit(0).cast("long"), LAYER: F.lit(-1).cast("long")})
             self._rewrite(newest(rows.unionByName(old), self.key, LAYER, SEQ).drop(LAYER, SEQ), touched, chosen)
             return len(chosen)
 
+    def _meets(self, s: Segment, low, high, bare: bool) -> bool:
+        """Whether keys from low to high, and null keys if bare, may be in the segment."""
+        own = s.stats[self.key]
+        if bare and own["n_values"] < s.rows:
+            return True
+        return low is not None and own["least"] is not None and not (own["greatest"] < low or own["least"] > high)
+
     def resplit(self, max_rows: int | None = None) -> int:
         """All segments anew, in pieces of at most max_rows; returns how many there are."""
         with self._lock:
@@ -271,7 +305,8 @@ class Store:
             return len(self.manifest.segments)
 
     def _rewrite(self, rows: DataFrame, old: list[Segment], deltas: set[str], max_rows: int | None = None) -> None:
-        version, base = f"{self.manifest.next_segment:08d}", self.manifest.next_segment
+        base = self.manifest.next_segment
+        version = f"{base:08d}-{uuid.uuid4().hex[:8]}"
         most = max_rows or self.config.max_segment_rows
         plain = f"{self.path}/segments/{version}.unsorted"
         rows.write.mode("overwrite").parquet(plain)
@@ -281,12 +316,14 @@ class Store:
         edges = self._edges(rows, parts)
         place = _place(F.col(self.key), edges)
         numbered = rows.withColumn("segment_id", (place + base).cast("int"))
-        numbered.repartition(max(1, len(edges) + 1), "segment_id").sortWithinPartitions("segment_id", self.key).write.mode("overwrite").partitionBy("segment_id").parquet(f"{self.path}/segments/{version}")
+        numbered.repartition(max(1, len(edges) + 1), "segment_id").sortWithinPartitions("segment_id", self.key).write.mode("overwrite").option("parquet.page.row.count.limit", self.config.row_group_size).partitionBy("segment_id").parquet(f"{self.path}/segments/{version}")
         self._delete(f"segments/{version}.unsorted")
         new = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("segment_id", T.IntegerType())])).parquet(f"{self.path}/segments/{version}") if n else None
         added = self._describe(new, version) if n else []
-        keep = [s for s in self.manifest.segments if s not in old]
-        self.manifest.segments = keep + added
+        before = {s.side for s in self.manifest.segments}
+        self.manifest.segments = [s for s in self.manifest.segments if s not in old] + added
+        if len({s.side for s in self.manifest.segments}) > MOST_SIDES:
+            self._merge_sides(f"{version}-merged")
         self.manifest.deltas = [d for d in self.manifest.deltas if d.name not in deltas]
         self.manifest.next_segment = base + len(edges) + 1
         self._commit()
@@ -294,6 +331,16 @@ class Store:
             self._delete(f"delta/{d}")
         for s in old:
             self._delete(f"segments/{s.version}/segment_id={s.id}")
+        for side in before - {s.side for s in self.manifest.segments}:
+            for kind in SIDES:
+                self._delete(f"{kind}/{side}")
+
+    def _merge_sides(self, name: str) -> None:
+        """One side table of each kind for all segments, so that reading one never opens more than MOST_SIDES."""
+        for kind in SIDES:
+            if (found := self.side(kind)) is not None:
+                found.write.mode("overwrite").parquet(f"{self.path}/{kind}/{name}")
+        self.manifest.segments = [replace(s, side=name) for s in self.manifest.segments]
 
     def _edges(self, rows: DataFrame, parts: int) -> list:
         """Keys at which segments begin, so that none holds more than its share by much."""
@@ -316,12 +363,14 @@ class Store:
             c = F.col(f"`{f.name}`")
             cols += [F.count(c).alias(f"{f.name}.n_values"), F.min(c).alias(f"{f.name}.least"), F.max(c).alias(f"{f.name}.greatest"), F.approx_count_distinct(c).alias(f"{f.name}.distinct")]
             if f.name in numeric:
-                cols.append(F.sum(c.cast("double")).alias(f"{f.name}.sum"))
+                cols += [F.sum(c.cast("double")).alias(f"{f.name}.sum"), F.var_pop(c.cast("double")).alias(f"{f.name}.variance")]
         out = []
         for r in rows.groupBy("segment_id").agg(*cols).collect():
-            stats = {f.name: {k: r[f"{f.name}.{k}"] for k in ("n_values", "least", "greatest", "distinct")} | {"sum": r[f"{f.name}.sum"] if f.name in numeric else None} for f in self.schema}
-            out.append(Segment(r["segment_id"], version, r["n"], stats))
+            stats = {f.name: {k: r[f"{f.name}.{k}"] for k in ("n_values", "least", "greatest", "distinct")} | {k: r[f"{f.name}.{k}"] if f.name in numeric else None for k in ("sum", "variance")} for f in self.schema}
+            out.append(Segment(r["segment_id"], version, r["n"], stats, [], version, self.manifest.sample_rate))
         few = [f.name for f in self.schema if all(s.stats[f.name]["distinct"] <= 1.1 * approx.MOST_GROUPS for s in out)]
+        for s in out:
+            s.kept = few
         group_stats(rows, few, numeric).write.mode("overwrite").parquet(f"{self.path}/groups/{version}")
         approx.sample(rows, self.key, self.manifest.sample_rate, self.config.seed).write.mode("overwrite").parquet(f"{self.path}/sample/{version}")
         sketches = None
@@ -333,20 +382,21 @@ class Store:
         return out
 
     def verify(self) -> dict[str, bool]:
-        """For each delta and segment, whether its files hold the rows that the manifest names."""
+        """For each delta and segment, whether its files hold the rows that the manifest names; with verify_crc, whether their pages have the checksums
+        that they were written with."""
         out = {}
         for d in self.manifest.deltas:
-            out[f"delta/{d.name}"] = self._counted(lambda d=d: self._delta(d.name)) == d.rows
+            out[f"delta/{d.name}"] = self._counted([f"delta/{d.name}"]) == d.rows
         for s in self.manifest.segments:
-            out[f"segment/{s.id}"] = self._counted(lambda s=s: self.segment_rows([s])) == s.rows
+            out[f"segment/{s.id}"] = self._counted([f"segments/{s.version}/segment_id={s.id}"]) == s.rows
         return out
 
-    def _counted(self, rows) -> int:
-        from pyspark.errors import AnalysisException
-
+    def _counted(self, names: list[str]) -> int:
         try:
-            return rows().count()
-        except AnalysisException:
+            rows = self.spark.read.schema(self.schema).option("parquet.page.verify-checksum.enabled", self.config.verify_crc).parquet(*[f"{self.path}/{n}" for n in names])
+            read = F.count(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])) if self.config.verify_crc else F.count("*")
+            return rows.agg(read).first()[0]
+        except (PySparkException, Py4JJavaError):
             return -1
 
 

@@ -22,7 +22,7 @@ def plain(rows):
     return sorted((tuple(norm(v) for v in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.queries() if not n.startswith(("store_", "bench_", "preset_")) or n in ("store_sum_eq", "store_count_or", "bench_sum_level_gt500_limit1000", "preset_09")])
+@pytest.mark.parametrize("name", [n for n in catalog.queries() if not n.startswith(("store_", "bench_", "preset_")) or n in ("store_nan_filter", "store_sum_eq", "store_count_or", "bench_sum_level_gt500_limit1000", "preset_09")])
 def test_query_equals_its_sql(spark, db, name):
     got = catalog.queries()[name](spark, SMALL)
     rows = got.collect()
