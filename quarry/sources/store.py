@@ -331,7 +331,7 @@ class Store:
             self._delete(f"delta/{d}")
         for s in old:
             self._delete(f"segments/{s.version}/segment_id={s.id}")
-        for side in before - {s.side for s in self.manifest.segments}:
+        for side in (before | {version}) - {s.side for s in self.manifest.segments}:
             for kind in SIDES:
                 self._delete(f"{kind}/{side}")
 
