@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.sources import scratch
+
 #: Text bytes that an operator holds at once; a longer text is held alone.
 SLICE_BYTES = 8 << 20
 #: A word is a run without space, tab, line feed, vertical tab, form feed and carriage return.
@@ -25,14 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("quarry.scratch.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("quarry.scratch.dir", found)
-    return found
+    """The cluster's shared folder; a temporary one only where a local session names none, as in tests."""
+    return scratch.folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -63,6 +63,22 @@ def test_model_equals_plain_naive_bayes():
         assert score == pytest.approx(1 / sum(math.exp(x - max(logs)) for x in logs), abs=0.02)
 
 
+def test_letters(spark):
+    df = spark.createDataFrame([(k, t, "en" if k % 2 else "de") for k, t in enumerate(["the one", "der und", "½", "² ①", "Ⅷ 12", "ª", "x", "_", "ǅ"])], "doc_id long, text string, lang string")
+    got = {r["text"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, langid.fit(langid.labelled(df))).collect()}
+    assert all(got[t] == ("und", 0.0) for t in ("½", "² ①", "Ⅷ 12", "_")) and all(got[t][0] != "und" and got[t][1] > 0 for t in ("the one", "ª", "x", "ǅ"))
+
+
+def test_languages_in_groups(spark, monkeypatch):
+    df = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("lang", F.concat("lang", (F.col("doc_id") % 3).cast("string")))
+    whole = langid.identify(df, langid.fit(langid.labelled(df)))
+    monkeypatch.setattr(langid, "MOST_LANGS", 5)
+    models = langid.fit(langid.labelled(df))
+    assert len(models.parts) > 1
+    for a, b in zip(whole.orderBy("doc_id").collect(), langid.identify(df, models).orderBy("doc_id").collect()):
+        assert a["lang_pred"] == b["lang_pred"] and a["score"] == pytest.approx(b["score"])
+
+
 def test_grams_stay_in_their_text():
     one, _ = langid.grams(["abc"])
     two, ends = langid.grams(["abc", "xyz"])
