@@ -7,7 +7,9 @@ and each run of tokens with digits is decoded by itself, exactly.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -20,14 +22,16 @@ from quarry.llm import common
 KINDS = ("email", "ip", "card", "phone", "id")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Numbers joined by dots, taken whole, so that no place is looked at twice.
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _GAP = re.compile(r"[\x20\x09-\x0D]+")
-_NEXT = re.compile(r"[\x20\x09-\x0D]*([^\x20\x09-\x0D]{0,32})")
+_NEXT = re.compile(r"[\x20\x09-\x0D]*([^\x20\x09-\x0D]*)")
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def luhn(digits: str) -> bool:
@@ -49,9 +53,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             out.append(("email", start, done := m.end()))
         at = text.find("@", max(at + 1, done))
     if _DIGIT.search(text):
-        for m in _IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split(".")):
-                out.append(("ip", *m.span()))
+        for m in _DOTTED.finditer(text):
+            if m[0].count(".") >= 3:
+                out += _ips(m[0], m.start())
         for m in _CARD.finditer(text):
             if 14 <= len(digits := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(digits):
                 out.append(("card", *m.span()))
@@ -61,6 +65,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def _ips(chain: str, start: int) -> list[tuple[str, int, int]]:
+    """Of numbers joined by dots, each four that follow each other and are at most 255; a rest of fewer than four is none."""
+    parts, out = chain.split("."), []
+    ends = list(itertools.accumulate(len(x) + 1 for x in parts))
+    for k in range(0, len(parts) - 3, 4):
+        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in parts[k : k + 4]):
+            out.append(("ip", start + (ends[k - 1] if k else 0), start + ends[k + 3] - 1))
+    return out
+
+
 TAGS = ("O", "B-phone", "I-phone", "B-id", "I-id")
 #: The labelled table: tokens, with /p for a telephone number's and /s for an identity number's.
 LABELLED = """
@@ -126,8 +140,19 @@ def table() -> list[tuple[list[str], list[int]]]:
 
 
 def shape(token: str) -> str:
-    """Runs of digits with their length (5 for more), letters as x or X, other characters themselves; at most 24 runs."""
-    return "".join(f"d{min(5, len(m[0]))}" if m[1] else "X" if m[2] else "x" if m[3] else m[0] for m, _ in zip(re.finditer(r"([0-9]+)|([A-Z]+)|([^\W\d_]+)|(.)", token, re.S), range(24)))
+    """Runs of digits with their length (5 for more), letters as x or X, other characters themselves."""
+    return "".join(f"d{min(5, len(m[0]))}" if m[1] else "X" if m[2] else "x" if m[3] else m[0] for m in re.finditer(r"([0-9]+)|([A-Z]+)|([^\W\d_]+)|(.)", token, re.S))
+
+
+def word_before(text: str, at: int) -> str:
+    """The word that ends before the blanks before `at`."""
+    end = at
+    while end and text[end - 1] in _BLANKS:
+        end -= 1
+    start = end
+    while start and text[start - 1] not in _BLANKS:
+        start -= 1
+    return text[start:end]
 
 
 def features(before: str, token: str, after: str) -> list[str]:
@@ -246,7 +271,7 @@ def added_spans(texts: list[str], model: Crf, base: list[list[tuple[str, int, in
         for run in runs(text) if _DIGIT.search(text) else ():
             lengths.append(len(run))
             words = [text[a:b] for a, b in run]
-            before = (text[max(0, run[0][0] - 32) : run[0][0]].split() or [""])[-1]
+            before = word_before(text, run[0][0])
             after = _NEXT.match(text, run[-1][1])[1]
             rows += [features(words[k - 1] if k else before, words[k], words[k + 1] if k + 1 < len(run) else after) for k in range(len(run))]
             where += [(i, a, b) for a, b in run]
@@ -262,6 +287,8 @@ def added_spans(texts: list[str], model: Crf, base: list[list[tuple[str, int, in
             spans[-1][2:4] = [where[k][2], k]
         elif kind:
             spans.append([where[k][0], where[k][1], where[k][2], k, kind])
+    starts = [[a for _, a, _ in own] for own in base]
+    reach = [list(itertools.accumulate((b for _, _, b in own), max)) for own in base]
     for i, a, b, _, kind in spans:
         text = texts[i]
         while a < b and text[a] not in "(+0123456789":
@@ -269,7 +296,7 @@ def added_spans(texts: list[str], model: Crf, base: list[list[tuple[str, int, in
         while b > a and text[b - 1] not in "0123456789":
             b -= 1
         digits = len(_NOT_DIGIT.sub("", text[a:b]))
-        if (7 <= digits <= 15 if kind == "phone" else digits == 9) and not any(a < y and x < b for _, x, y in base[i]):
+        if (7 <= digits <= 15 if kind == "phone" else digits == 9) and not ((k := bisect.bisect_left(starts[i], b)) and reach[i][k - 1] > a):
             out[i].append((kind, a, b))
     return out
 
@@ -292,7 +319,8 @@ def find(docs: DataFrame, *, replace: bool = False) -> DataFrame:
     """docs plus n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans and n_added; from column text alone.
 
     With replace, text is redacted too. Columns of the added names are replaced. Null or empty text: no spans, and a null
-    text stays null. Offsets are code points. Repeated rows get equal results. Empty table: empty result.
+    text stays null. Offsets are code points. Repeated rows get equal results; spans with one start come in order of their kinds. A long text
+    is read whole, in time that grows with its length. Empty table: empty result.
     """
     added = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     names = StructType.fromDDL(added).names

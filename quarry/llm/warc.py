@@ -25,12 +25,15 @@ Headers = list[tuple[str, str]]
 VERSION = "WARC/1.1"
 #: Date of responses that are made from pages, which have none.
 DATE = "2024-01-01T00:00:00Z"
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_SKIPPED = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
+_END = {x: re.compile(rf"</{x}\s*+>", re.I) for x in ("script", "style", "noscript", "template")}
 _BREAK = re.compile(r"<(?:br|hr|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|main|aside|pre|blockquote|title|head|body|dl|dt|dd|form))\b[^<>]*>", re.I)
 _TAG = re.compile(r"""<[/!?a-z](?:[^<>"']|"[^"<]*"|'[^'<]*')*+>|<[/!?a-z][^<>]*>""", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)""", re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b", re.I), re.compile(r"</title", re.I)
+_HTML, _LANG = re.compile(r"<html\b", re.I), re.compile(r"""\blang\s*+=\s*+["']?([A-Za-z0-9-]+)""", re.I)
+_ANCHOR, _HREF = re.compile(r"<a\b", re.I), re.compile(r"\bhref\s*+=\s*+", re.I)
+_BARE = re.compile(r"""[^\s"'>]+""")
+_CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _BLANK = re.compile(r"[^\S\n]+")
 
 
@@ -51,24 +54,52 @@ def serialise(headers: Headers, block: bytes) -> bytes:
     return (VERSION + "\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n").encode() + block + b"\r\n\r\n"
 
 
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The bytes of gzip members, piece by piece."""
+    view, at, step = memoryview(data), 0, 1 << 16
+    while bytes(view[at : at + 2]) == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(data):
+            piece = view[at : at + step]
+            yield member.decompress(piece)
+            at += len(piece) - len(member.unused_data)
+        yield member.flush()
+
+
 def parse(data: bytes) -> Iterator[tuple[Headers, bytes]]:
-    """The records of a WARC file, plain or gzipped as a whole or by record. A torn last record raises ValueError."""
-    while data[:2] == b"\x1f\x8b":
-        plain = b""
-        while data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            plain += member.decompress(data) + member.flush()
-            data = member.unused_data
-        data = plain
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
+    """The records of a WARC file, plain or gzipped as a whole or by record. A torn last record raises ValueError.
+
+    A gzipped file is held as it is; of what it inflates to, one record and a piece of the next.
+    """
+    more = _inflated(data) if data[:2] == b"\x1f\x8b" else iter([data])
+    held, passed = bytearray(next(more, b"")), 0
+
+    def fill(until) -> int:
+        """until(place from which to look) once it is no longer negative; -1 at the end of the data."""
+        seen = 0
+        while (found := until(seen)) < 0:
+            seen = max(0, len(held) - 3)
+            piece = next(more, None)
+            if piece is None:
+                return -1
+            held.extend(piece)
+        return found
+
+    while True:
+        fill(lambda _: 0 if len(held) > 1 else -1)
+        if held[:2] == b"\x1f\x8b":  # gzipped twice
+            yield from parse(bytes(held) + b"".join(more))
+            return
+        if held[:2] == b"\r\n":
+            del held[:2]
+            passed += 2
             continue
-        end = data.find(b"\r\n\r\n", at)
-        first, *lines = data[at : max(end, at)].decode("utf-8", "replace").split("\r\n")
+        if not held:
+            return
+        end = fill(lambda seen: held.find(b"\r\n\r\n", seen))
+        first, *lines = bytes(held[: max(end, 0)]).decode("utf-8", "replace").split("\r\n")
         if end < 0 or not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at byte {passed}")
         headers: Headers = []
         for line in lines:
             if line[:1] in (" ", "\t") and headers:
@@ -76,16 +107,18 @@ def parse(data: bytes) -> Iterator[tuple[Headers, bytes]]:
             else:
                 k, _, v = line.partition(":")
                 headers.append((k.strip(), v.strip()))
-        size = int(header(headers, "Content-Length") or 0)
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            raise ValueError(f"the record at byte {at} is torn")
-        yield headers, block
-        at = end + 4 + size
+        to = end + 4 + int(header(headers, "Content-Length") or 0)
+        if fill(lambda _: 0 if len(held) >= to else -1) < 0:
+            raise ValueError(f"the record at byte {passed} is torn")
+        yield headers, bytes(held[end + 4 : to])
+        del held[:to]
+        passed += to
 
 
 def response_of(url: str | None, page: str | None, date: str = DATE) -> tuple[Headers, bytes]:
-    """A response record for a page as it was fetched; a null page has an empty payload, a null url no target."""
+    """A response record for a page as it was fetched; a null page has an empty payload, a null url no target. White space and control characters of the
+    url are percent-encoded, as a header's line can't hold them."""
+    url = None if url is None else _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url)
     payload = (page or "").encode()
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", url or "", date, digest(payload))), ("WARC-Date", date)]
@@ -95,17 +128,83 @@ def response_of(url: str | None, page: str | None, date: str = DATE) -> tuple[He
     return headers, block
 
 
+def _without_skipped(page: str) -> str:
+    """Comments, scripts and styles as a space each; one that isn't closed reaches to the end. Each place is looked at a bounded number of times: what is
+    not found ahead of one place isn't looked for again from a later one."""
+    out, at, look = [], 0, 0
+    while m := _SKIPPED.search(page, look):
+        if m[1] is None:
+            end = page.find("-->", m.end())
+            to = end + 3 if end >= 0 else len(page)
+        else:
+            opened = page.find(">", m.end())
+            if opened < 0:  # no tag ends from here on; comments alone may follow
+                look = page.find("<!--", m.end())
+                if look < 0:
+                    break
+                continue
+            closed = _END[m[1].lower()].search(page, opened + 1)
+            to = closed.end() if closed else len(page)
+        out += [page[at : m.start()], " "]
+        at = look = to
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """What a reader sees: without scripts, styles and comments; a line for each block, single spaces, entities resolved."""
-    text = _TAG.sub("", _BREAK.sub("\n", _SKIP.sub(" ", page)))
+    text = _TAG.sub("", _BREAK.sub("\n", _without_skipped(page)))
     text = _BLANK.sub(" ", html.unescape(text).replace("\r", "\n"))
     return "\n".join(x for line in text.split("\n") if (x := line.strip()))
 
 
+def title_of(page: str) -> str | None:
+    """What stands in the first title. If that isn't closed, no later one is."""
+    if (m := _TITLE.search(page)) and (a := page.find(">", m.end())) >= 0 and (end := _TITLE_END.search(page, a + 1)):
+        return page[a + 1 : end.start()]
+    return None
+
+
+def language_of(page: str) -> str | None:
+    """The lang attribute of the first html tag that has one."""
+    at = 0
+    while m := _HTML.search(page, at):
+        end = page.find(">", m.end())
+        end = len(page) if end < 0 else end
+        if found := _LANG.search(page, m.end(), end):
+            return found[1]
+        at = end  # a tag that begins before this end has fewer attributes
+    return None
+
+
+def links_of(page: str) -> list[str]:
+    """The targets of all anchors, in order."""
+    out, at, unclosed = [], 0, set()
+    while m := _ANCHOR.search(page, at):
+        end = page.find(">", m.end())
+        end, at = (len(page), len(page)) if end < 0 else (end, end)
+        for href in _HREF.finditer(page, m.end(), end):
+            a = href.end()
+            quote = page[a : a + 1]
+            if quote in ('"', "'"):
+                b = -1 if quote in unclosed else page.find(quote, a + 1)
+                if b < 0:
+                    unclosed.add(quote)
+                    continue
+                out.append(page[a + 1 : b])
+                at = b + 1
+            elif bare := _BARE.match(page, a):
+                out.append(bare[0])
+                at = bare.end()
+            else:
+                continue
+            break
+    return out
+
+
 def _split_http(block: bytes) -> tuple[str, Headers, bytes]:
     head, _, payload = block.partition(b"\r\n\r\n")
     status, *lines = head.decode("latin-1").split("\r\n")
-    return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], payload
+    return status, [(" ".join(k.split()), " ".join(v.split())) for k, _, v in (x.partition(":") for x in lines)], payload
 
 
 def _charset(http: Headers) -> str:
@@ -138,11 +237,11 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
 
     fields = [("http-status", status), *((f"http-header-{k}", v) for k, v in http), ("payload-length", str(len(payload)))]
     if page is not None:
-        if title := _TITLE.search(page):
-            fields.append(("title", " ".join(html.unescape(title[1]).split())))
-        if lang := _LANG.search(page):
-            fields.append(("language", lang[1]))
-        fields += [("outlink", " ".join(html.unescape(a or b or c).split())) for a, b, c in _LINK.findall(page)]
+        if (title := title_of(page)) is not None:
+            fields.append(("title", " ".join(html.unescape(title).split())))
+        if lang := language_of(page):
+            fields.append(("language", lang))
+        fields += [("outlink", " ".join(html.unescape(x).split())) for x in links_of(page)]
     out = [record("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode())]
     if page is not None:
         text = plain_text(page) if "html" in kind.lower() else page
@@ -162,7 +261,7 @@ def derivatives(pages: DataFrame) -> DataFrame:
     """For each row of pages (page_id, url, html), its metadata and conversion records as rows with page_id.
 
     Null html: an empty payload, so an empty conversion. Null url: records without a target. Repeated rows give repeated
-    records with equal ids. Other columns play no part. Empty table: empty result.
+    records with equal ids. Other columns play no part. A long page is read whole, in time that grows with its length. Empty table: empty result.
     """
 
     def run(batches):

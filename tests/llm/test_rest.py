@@ -6,6 +6,7 @@ import hashlib
 import html.parser
 import math
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -83,7 +84,7 @@ def test_derivatives_are_linked(spark):
     for r in rows:
         page = pages[r["page_id"]]
         headers, block = warc.response_of(page["url"], page["html"])
-        assert r["refers_to"] == warc.header(headers, "WARC-Record-ID") != r["record_id"] and r["target_uri"] == page["url"]
+        assert r["refers_to"] == warc.header(headers, "WARC-Record-ID") != r["record_id"] and r["target_uri"] == page["url"].replace(" ", "%20")
         data = r["block"].encode()
         assert r["block_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode() and r["content_length"] == len(data)
         assert r["source_digest"] == warc.digest(page["html"].encode())
@@ -140,6 +141,36 @@ def test_files_round_trip(spark, tmp_path):
     assert [warc.header(h, "WARC-Type") for h, _ in image] == ["metadata"]
 
 
+PLAIN_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+PLAIN_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
+PLAIN_LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)""", re.I)
+PLAIN_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+BITS = ["<a", " ", "href", "=", '"', "'", ">", "<", "x", "<title", "</title", "<!--", "-->", "<script", "</script", "<STYLE>", "</style>", "<html", "lang", "/", "\n", "é"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(BITS), max_size=24).map("".join))
+def test_one_pass_equals_plain_patterns(page):
+    title, lang = PLAIN_TITLE.search(page), PLAIN_LANG.search(page)
+    assert warc._without_skipped(page) == PLAIN_SKIP.sub(" ", page)
+    assert warc.title_of(page) == (title and title[1]) and warc.language_of(page) == (lang and lang[1])
+    assert warc.links_of(page) == [a or b or c for a, b, c in PLAIN_LINK.findall(page)]
+
+
+@pytest.mark.parametrize("bit", ["<a ", "<title>", "<title ", "<script ", "<script>", "<!--", "<html ", '<a href="', "<a href=' ", '<p x="', "</script", "<"])
+def test_long_pages_take_no_more_than_their_share(bit):
+    page = bit * ((1 << 20) // len(bit))
+    began = time.perf_counter()
+    warc.derive(*warc.response_of("u", page))
+    assert time.perf_counter() - began < 2
+
+
+def test_urls_with_line_breaks():
+    made = warc.derive(*warc.response_of("http://x/a b\r\nWARC-Type: y", "<p>t"))
+    assert [warc.header(h, "WARC-Target-URI") for h, _ in made] == ["http://x/a%20b%0D%0AWARC-Type:%20y"] * 2
+    assert list(warc.parse(b"".join(warc.serialise(*m) for m in made))) == made
+
+
 # 10: top-k
 
 
