@@ -120,16 +120,20 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def proposed(nodes: DataFrame) -> DataFrame:
-    """Pairs u > v of nodes to verify first: close fingerprints, and agreeing minima, each with the least of those that agree."""
+    """Pairs u > v of nodes to verify first: links between close fingerprints, and for each node the one hub that it agrees with most.
+
+    The hub of nodes with one fingerprint, or with the same minima in one band, is the least of them. So a node gives at most one pair, however many nodes
+    it agrees with.
+    """
     by_print = common.cut(nodes.groupBy("fp").agg(F.min("node").alias("hub")))
     close = simhash.links(by_print.select("fp"), by_print.count(), DISTANCE)
     side = lambda c, to: by_print.select(F.col("fp").alias(c), F.col("hub").alias(to))
     close = close.join(side("u", "a"), "u").join(side("v", "b"), "v").select(F.col("a").alias("node"), F.col("b").alias("hub"))
-    same = nodes.join(by_print, "fp").select("node", "hub")
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    hubs = keyed.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    agree = keyed.join(hubs, ["band", "key"]).select("node", "hub")
-    every = close.unionByName(same).unionByName(agree).where("node != hub")
+    keyed = nodes.select("node", F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "key"))
+    hubs = keyed.groupBy("band", "key").agg(F.min("node").alias("hub"))
+    agree = keyed.join(hubs, ["band", "key"]).where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    agree = agree.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
+    every = close.unionByName(agree).where("node != hub")
     return every.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
 
 

@@ -251,7 +251,7 @@ def test_names():
 
 
 def test_stages_against_brute_force(spark, tmp_path):
-    from tests.llm.test_dedup import by_pairs
+    from tests.llm.test_similar import kept
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
@@ -266,7 +266,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     first = stage("language ID", docs)
     assert first.columns == columns and first.count() == docs.where(F.col("text").rlike(r"\p{L}")).count()
     second = stage("SimHash near-dedup", first)
-    want = {c for _, _, c in by_pairs([(r["doc_id"], r["text"]) for r in first.collect()])}
+    want = kept([(r["doc_id"], r["text"]) for r in first.collect()])  # five words, similarity 0.8
     assert second.columns == columns and sorted(r["doc_id"] for r in second.collect()) == sorted(want)
     third = stage("PII", second)
     crf, before = pii.train(pii.table()), {r["doc_id"]: r["text"] for r in second.collect()}
