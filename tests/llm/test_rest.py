@@ -69,6 +69,51 @@ def test_mix(spark, shard):
     assert mixing.mix(df.where("false")).collect() == []
 
 
+def plain_mix(rows, weights=(5, 2, 1), cap=3.0, block=64, shard=1 << 18, docs=1 << 14, groups=1024):
+    """source: (target, the quota of each shard); shards are given as rows' numbers, so each row is (source, size, hash)."""
+    names = sorted({r[0] for r in rows}, key=lambda x: (x is None, x or ""))
+    sizes = [sum(r[1] for r in rows if r[0] == x) for x in names]
+    goal = mixing.targets(sizes, [weights[k % 3] for k in range(len(names))], cap)
+    block = int(max(1, min([block, *(g // 256 for g in goal if g > 0)])))
+    quotas, out = one_by_one(goal, round(sum(sizes) / block)), {}
+    for k, x in enumerate(names):
+        own = [r for r in rows if r[0] == x]
+        n = max(1, -(-sizes[k] // shard), -(-len(own) // docs))
+        g = min(groups, n)
+        total = g * -(-n // g)
+        parts: dict = {}
+        for r in own:
+            parts.setdefault(r[2] % total % g, {}).setdefault(r[2] % total, []).append(r[1])
+        seats = one_by_one([sum(map(sum, parts[p].values())) for p in sorted(parts)], quotas[k])
+        for p, s in zip(sorted(parts), seats):
+            line = [sum(parts[p][q]) for q in sorted(parts[p])]
+            for q, z, w in zip(sorted(parts[p]), line, one_by_one(line, s)):
+                out[x, q] = min(w, int(cap) * -(-z // block)), z, block
+    return out
+
+
+def test_quotas_of_shards_seat_by_seat(spark, monkeypatch):
+    """What each shard takes, against the apportionment one seat at a time, in groups of shards and with null and repeated doc_ids."""
+    monkeypatch.setattr(mixing, "GROUPS", 3)
+    rows = [(None if k % 3 == 0 else k // 2, "abc"[k % 3] if k % 7 else None, k % 40, k) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, x int")
+    order = {r["x"]: r["h"] for r in df.select("x", F.xxhash64(F.lit(42), *df.columns).alias("h")).collect()}
+    want = plain_mix([(r[1], r[2], order[r[3]]) for r in rows], shard=600, docs=50, groups=3)
+    got: dict = {}
+    names = {x: sum(r[1] == x for r in rows) for x in "abc"} | {None: sum(r[1] is None for r in rows)}
+    for r in mixing.mix(df, shard_tokens=600, shard_docs=50).collect():
+        size = sum(z[2] for z in rows if z[1] == r["source"])
+        n = max(1, -(-size // 600), -(-names[r["source"]] // 50))
+        shard = order[r["x"]] % (min(3, n) * -(-n // min(3, n)))
+        got[r["source"], shard] = got.get((r["source"], shard), 0) + r["taken"]
+    assert set(got) == set(want) and len(want) > 20
+    for key, (quota, size, block) in want.items():
+        blocks = -(-size // block)
+        whole = quota // blocks * size if blocks else 0
+        rest = quota % blocks if blocks else 0
+        assert got[key] - whole in (rest * block, rest * block - (blocks * block - size)), key
+
+
 def test_sizes(spark):
     rows = [r[0] for r in spark.createDataFrame([(t,) for t in ("a b", None, "", " \t", "x y z\x1cq", "é\n\n\x0bè")], "t string").select(mixing.n_words(F.col("t"))).collect()]
     assert rows == [2, 0, 0, 0, 2, 2]
