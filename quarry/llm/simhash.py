@@ -1,8 +1,9 @@
 """SimHash near-deduplication: fingerprints of word shingles, links by Hamming distance, connected components.
 
-Candidate pairs are those that agree on one of several bit blocks (the pigeonhole principle: none is lost). Within a
-bucket a table of distances to reference fingerprints discards pairs by the largest coordinate difference, which never
-exceeds the distance of the pair; what survives is verified. A bucket gives a spanning forest, never its pairs.
+Fingerprints are dealt to coarse buckets that agree on one of several bit blocks (the pigeonhole principle: no pair within the distance is lost). Inside a
+bucket the table of distances to reference fingerprints decides: a pair whose largest coordinate difference exceeds the distance is discarded, and every
+pair that survives is verified. Buckets that are still large are split by the same principle on their remaining bits, in some rounds.
+A bucket gives a spanning forest, never its pairs.
 """
 
 from __future__ import annotations
@@ -17,8 +18,15 @@ from quarry.llm import common
 
 #: Fingerprints that a bucket may hold on average; with more, buckets get finer, at more of them for each fingerprint.
 EVEN = 256
-#: Largest bucket that one task takes whole; larger ones are split by the pigeonhole principle on their remaining bits.
+#: Largest bucket that is held at once; larger ones are split by the pigeonhole principle on their remaining bits.
 BUCKET = 4096
+#: Rounds of splitting. Each deals a fingerprint to five finer buckets, of which those of a dense cluster lose few; what is large after the last one is
+#: taken whole, its memory a dozen bytes a fingerprint.
+SPLITS = 3
+#: Rows of buckets that go through the pivot table together, and pairs that are looked at in one step.
+BATCH, STEP = 1 << 16, 2_000_000
+#: Fingerprints up to which their components, two numbers each, are sent to every task.
+MOST_BROADCAST = 500_000
 _SEEDED = np.random.default_rng(9)
 PIVOTS = _SEEDED.integers(0, 1 << 64, 12, dtype=np.uint64)
 _SPREAD = ((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uint64)) & np.uint64(1)) << (np.arange(8, dtype=np.uint64) * np.uint64(8))
@@ -120,27 +128,27 @@ def roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None)
     return label
 
 
-def forest(fps: np.ndarray, distance: int) -> np.ndarray:
-    """Index of the representative of each of the distinct fingerprints under links within the distance.
+def forest(fps: np.ndarray, distance: int, bucket: np.ndarray | None = None) -> np.ndarray:
+    """Index of the representative of each of the fingerprints under links within the distance and the bucket (number of each fingerprint's; one if
+    none is given).
 
-    Sorted by the first coordinate, each row meets only the rows within the distance of it; further coordinates
-    discard pairs, and the rest is verified.
+    Sorted by bucket and first coordinate, each row meets only the rows within the distance of it; the further coordinates discard pairs, and the rest is
+    verified.
     """
     table = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
-    order = np.argsort(table[:, 0], kind="stable")
-    fps, table = fps[order], table[order]
-    to = np.searchsorted(table[:, 0], table[:, 0] + distance, side="right")
+    key = table[:, 0].astype(np.int64) + (0 if bucket is None else bucket.astype(np.int64) << 8)
+    order = np.argsort(key, kind="stable")
+    fps, table, key = fps[order], table[order], key[order]
+    to = np.searchsorted(key, key + distance, side="right")
     label, at, n = np.arange(len(fps)), 0, len(fps)
     reach = to - np.arange(n) - 1
     total = np.cumsum(reach)
     while at < n:
         base = total[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(total, base + 2_000_000, side="right")))
+        end = max(at + 1, int(np.searchsorted(total, base + STEP, side="right")))
         a = np.repeat(np.arange(at, end), reach[at:end])
         b = common.ranges(np.arange(at, end) + 1, reach[at:end])
         for k in range(1, table.shape[1]):
-            if len(a) < 64:
-                break
             near = np.abs(table[a, k] - table[b, k]) <= distance
             a, b = a[near], b[near]
         near = np.bitwise_count(fps[a] ^ fps[b]) <= distance
@@ -151,44 +159,71 @@ def forest(fps: np.ndarray, distance: int) -> np.ndarray:
     return out
 
 
+def _settle(distance: int, most: int):
+    """Buckets, whose rows come one after the other: the links of each, or, of one that is too large, its rows dealt by finer masks."""
+
+    def links_of(held: list) -> pa.RecordBatch:
+        mask, key, fp = (np.concatenate(x) for x in zip(*held))
+        new = np.r_[False, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]
+        bucket = np.cumsum(new)
+        turn = np.lexsort((fp, bucket))
+        fp = fp[turn]
+        root = forest(fp.view(np.uint64), distance, bucket)
+        moved = np.flatnonzero(root != np.arange(len(fp)))
+        return _batch(fp[moved], fp[root[moved]], None)
+
+    def run(batches):
+        finer: dict[int, list[int]] = {}
+        held, rows, open_key, open_rows, open_n, heavy = [], 0, None, [], 0, False
+        for b in batches:
+            mask, key, fp = (b.column(c).to_numpy() for c in ("mask", "key", "fp"))
+            edge = np.r_[0, np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1, len(fp)]
+            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if open_key != (mask[x], key[x]):
+                    held += open_rows
+                    rows += open_n if open_rows else 0
+                    open_key, open_rows, open_n, heavy = (mask[x], key[x]), [], 0, False
+                    if rows >= BATCH:
+                        yield links_of(held)
+                        held, rows = [], 0
+                open_n += y - x
+                open_rows.append((mask[x:y], key[x:y], fp[x:y]))
+                if heavy or open_n > most:
+                    own = int(mask[x]) & ((1 << 64) - 1)
+                    masks = finer.setdefault(own, split_masks(own, distance))
+                    for _, _, f in open_rows:
+                        for m in masks:
+                            yield _batch(f, f & signed(m), np.full(len(f), signed(m)))
+                    open_rows, heavy = [], True
+        held += open_rows
+        if held:
+            yield links_of(held)
+
+    return run
+
+
+def _batch(u: np.ndarray, v: np.ndarray, mask: np.ndarray | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.nulls(len(u), pa.int64()) if mask is None else pa.array(mask, pa.int64())], ["u", "v", "mask"])
+
+
 def links(distinct: DataFrame, n: int, distance: int) -> DataFrame:
-    """Spanning links (u, v) between the distinct fingerprints (column fp) that lie within the distance."""
+    """Spanning links (u, v) between the distinct fingerprints (column fp) that lie within the distance.
+
+    Each round deals its rows by bucket once and writes links and, of buckets that are too large, rows with finer masks for the next round.
+    """
     masks = blocks_for(n, distance)
-    own = lambda ms: F.explode(F.array(*[F.struct(F.lit(signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for m in ms]))
-    keyed = distinct.select("fp", own(masks).alias("b")).select("fp", "b.mask", "b.key")
-    heavy = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1).withColumn("heavy", F.col("n") > BUCKET).drop("n")
-    keyed = keyed.join(heavy, ["mask", "key"])
-    finer = None
-    for m in masks:
-        part = keyed.where(F.col("heavy") & (F.col("mask") == F.lit(signed(m)))).select("fp", own(split_masks(m, distance)).alias("b"))
-        finer = part if finer is None else finer.unionByName(part)
-    keyed = keyed.where(~F.col("heavy")).select("fp", "mask", "key").unionByName(finer.select("fp", "b.mask", "b.key"))
+    own = F.explode(F.array(*[F.struct(F.lit(signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for m in masks]))
+    keyed, found = distinct.select("fp", own.alias("b")).select("fp", "b.mask", "b.key"), None
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), common.partitions(n * 24 * len(masks)))
-
-    def run(batches):
-        got = [(b.column("mask").to_numpy(), b.column("key").to_numpy(), b.column("fp").to_numpy()) for b in batches]
-        if not got:
-            return
-        mask, key, fp = (np.concatenate(x) for x in zip(*got))
-        order = np.lexsort((fp, key, mask))
-        mask, key, fp = mask[order], key[order], fp[order]
-        start = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
-        size = np.diff(np.r_[start, len(fp)])
-        us, vs = [], []
-        two = start[size == 2]
-        near = np.bitwise_count(fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)) <= distance
-        us.append(fp[two[near] + 1])
-        vs.append(fp[two[near]])
-        for s, k in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-            own = fp[s : s + k]
-            root = forest(own.view(np.uint64), distance)
-            moved = np.flatnonzero(root != np.arange(k))
-            us.append(own[moved])
-            vs.append(own[root[moved]])
-        pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
-
-    return keyed.repartition(parts, "mask", "key").mapInArrow(run, "u long, v long").distinct()
+    for level in range(SPLITS + 1):
+        dealt = keyed.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key")
+        out = common.cut(dealt.select("mask", "key", "fp").mapInArrow(_settle(distance, BUCKET if level < SPLITS else 1 << 62), "u long, v long, mask long"))
+        done = out.where(F.col("mask").isNull()).select("u", "v")
+        found = done if found is None else found.unionByName(done)
+        rest = out.where(F.col("mask").isNotNull())
+        if level == SPLITS or rest.isEmpty():
+            return found.distinct()
+        keyed = rest.select(F.col("u").alias("fp"), "mask", F.col("v").alias("key")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,7 +233,7 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder. The number of rounds grows with the logarithm of the nodes.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
-    seen = None
+    seen, before = None, edges
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -206,24 +241,27 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(small, "u")
         edges = common.cut(star.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct())
-        state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if state == seen:
+        n = edges.count()
+        if n == seen and edges.join(before, ["u", "v"], "left_anti").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
+        seen, before = n, edges
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 4, distance: int = 4, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keys`, fingerprint (16 hexadecimal digits) and component_id (smallest doc_id reachable) of each row of docs.
 
     Other columns of docs play no part. Null, empty and blank texts have fingerprint 0 and are linked like any other. Repeated rows share a component. A
-    null doc_id is never the smallest unless its component has no other. Empty table: empty result.
+    null doc_id is never the smallest unless its component has no other. All shingles of a long text count. Empty table: empty result.
     """
     found = common.cut(fingerprints(docs, width, keys))
     distinct = common.cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots_of = components(common.cut(links(distinct.select("fp"), distinct.count(), distance)))
+    n = distinct.count()
+    roots_of = components(common.cut(links(distinct.select("fp"), n, distance)))
     rooted = distinct.join(roots_of, distinct["fp"] == roots_of["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     label = rooted.join(least, "root").select("fp", "component_id")
+    if n <= MOST_BROADCAST:  # else a join, whose hot fingerprints adaptive execution splits
+        label = F.broadcast(label)
     return found.join(label, "fp").select(*keys, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

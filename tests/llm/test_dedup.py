@@ -145,7 +145,7 @@ def test_links_lose_nothing(spark, monkeypatch):
     want = simhash_root(fps)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     masks_for = simhash.blocks_for
-    for bucket, n in ((4096, len(fps)), (1, len(fps)), (4096, 10**9)):
+    for bucket, n in ((4096, len(fps)), (1, len(fps)), (7, len(fps)), (4096, 10**9)):
         monkeypatch.setattr(simhash, "BUCKET", bucket)
         monkeypatch.setattr(simhash, "blocks_for", lambda _, d, n=n: masks_for(n, d))
         got = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, len(fps), 4)).collect()}
@@ -164,6 +164,27 @@ def simhash_root(fps):
     return simhash.roots(len(fps), a, b)
 
 
+def test_large_buckets_are_split_until_small(spark):
+    """More fingerprints of one bucket than are held at once, at the real size: all in one component by chains of one bit."""
+    rng = np.random.default_rng(8)
+    fps = np.unique(rng.integers(0, 1 << 20, 9000, dtype=np.uint64) | np.uint64(0xABCDEF) << np.uint64(40))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    want = simhash.forest(fps, 4)
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, len(fps), 4)).collect()}
+    label = [got.get(int(x), int(x)) for x in fps.view(np.int64)]
+    assert len(fps) > 2 * simhash.BUCKET and len(set(zip(want.tolist(), label))) == len(set(label)) == len(set(want.tolist()))
+
+
+def test_buckets_side_by_side():
+    fps = close_fingerprints(300, 7)
+    bucket = np.sort(np.random.default_rng(1).integers(0, 9, len(fps)))
+    got = simhash.forest(fps, 4, bucket)
+    for k in range(9):
+        own = np.flatnonzero(bucket == k)
+        alone = own[simhash.forest(fps[own], 4)]
+        assert (got[own][:, None] == got[own][None]).tolist() == (alone[:, None] == alone[None]).tolist()
+
+
 def test_pivots_discard_no_link():
     fps = close_fingerprints(400, 5)
     assert len(set(zip(simhash.forest(fps, 4).tolist(), simhash_root(fps).tolist()))) == len(set(simhash_root(fps).tolist()))
