@@ -10,6 +10,8 @@ farther than the k-th best so far, before any distance to it is computed. Scores
 from __future__ import annotations
 
 import heapq
+import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,9 @@ from quarry.llm import common
 
 PAGE, FANOUT = 512, 16
 BLOCK_ROWS, QUERY_ROWS = 1 << 16, 1 << 13
+#: Components below it, in up to WIDE_DIMS dimensions, have scores that 64-bit floats hold exactly; rows with others are scored with Python's integers.
+WIDE, WIDE_DIMS = 1 << 20, 1 << 13
+_EXACT, _DIGITS = 1 << 53, 700
 
 
 def quantise(batches):
@@ -33,17 +38,38 @@ def quantise(batches):
         inner = lists.flatten()
         missing = inner.is_null().to_numpy(zero_copy_only=False)
         values = inner.fill_null(0).to_numpy(zero_copy_only=False)
-        with np.errstate(over="ignore"):
-            values = np.floor(64 * values)
+        with np.errstate(over="ignore", invalid="ignore"):
+            whole = np.floor(64 * values)
         bad = missing | ~np.isfinite(values)
-        run = np.append(0, np.cumsum(bad))
+        far = ~bad & ~(np.abs(whole) < WIDE)
+        run, wide = np.append(0, np.cumsum(bad)), np.append(0, np.cumsum(far))
         ok = lists.is_valid().to_numpy(zero_copy_only=False) & b.column("vec_id").is_valid().to_numpy(zero_copy_only=False) & (run[ends] == run[starts])
         at = np.flatnonzero(ok)
-        if len(values) and np.abs(values[~bad]).max(initial=0) >= 1 << 31:
-            raise OverflowError("a component is beyond the range of exact scores")
-        whole = np.where(bad, 0, values).astype("<i4")
+        big = (wide[ends] > wide[starts])[at] | ((ends - starts)[at] > WIDE_DIMS)
+        whole = np.where(bad | far, 0, whole).astype("<i4")
         norms = np.array([int((whole[starts[i] : ends[i]].astype(np.int64) ** 2).sum()) for i in at], np.int64)
-        yield pa.RecordBatch.from_pydict({"row": b.column("row").take(pa.array(at)), "vec_id": b.column("vec_id").take(pa.array(at)), "v": pa.array([whole[starts[i] : ends[i]].tobytes() for i in at], pa.binary()), "norm": pa.array(norms)})
+        exact = [pickle.dumps([math.floor(64 * x) if abs(x) < 1e300 else 64 * int(x) for x in values[starts[i] : ends[i]].tolist()]) if w else None for i, w in zip(at.tolist(), big.tolist())]
+        yield pa.RecordBatch.from_pydict({
+            "row": b.column("row").take(pa.array(at)), "vec_id": b.column("vec_id").take(pa.array(at)),
+            "v": pa.array([b"" if w else whole[starts[i] : ends[i]].tobytes() for i, w in zip(at.tolist(), big.tolist())], pa.binary()), "norm": pa.array(np.where(big, 0, norms)),
+            "wide": pa.array(exact, pa.binary()),
+        })
+
+
+def long_dot(a: list[int], b: list[int]) -> int:
+    return sum(x * y for x, y in zip(a, b))
+
+
+def digits_of(score: int) -> str:
+    """Empty where a 64-bit float is exact, else a text of fixed length that orders like the score."""
+    return "" if abs(score) < _EXACT else f"{score + 10**_DIGITS:0{_DIGITS + 1}d}"
+
+
+def nearest_float(score: int) -> float:
+    try:
+        return float(score)
+    except OverflowError:
+        return math.inf if score > 0 else -math.inf
 
 
 def matrix(packed: list[bytes], dims: int) -> np.ndarray:
@@ -128,8 +154,6 @@ class Tree:
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k highest scores and their ids, ties to the smaller id; the row `own` takes no part."""
         q2, bound = float(q @ q), self.dims * self.top * float(np.abs(q).max(initial=0))
-        if bound >= 1 << 53:
-            raise OverflowError("a score is beyond the range of exact sums")
         light = q.astype(np.float32) if bound < 1 << 24 else None
         wide = np.append(q, 0.0)
         slack = 1e-7 * (1 + np.sqrt(q2 + self.longest2))
@@ -172,19 +196,25 @@ def top_k(vectors: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
     vectors has vec_id and embedding (list of floats); queries are the rows whose vec_id is divisible by `every`.
     Components become floor(64 x). Null vec_ids, null vectors and vectors with a null or non-finite component take no
     part. A shorter vector counts as one with zeros at the end. Equal scores rank by vec_id; repeated rows are rows of
-    their own, each a candidate, each a query. Fewer than k others: all. Empty table: empty result. A component of 2^31 or
-    more, or a score that may reach 2^53, raises OverflowError.
+    their own, each a candidate, each a query. Fewer than k others: all. Empty table: empty result. Rows with a component of WIDE or more take part
+    with exact integers of any size, compared with every row, outside the trees; they rank by the exact score, and one beyond 64 bits is given as the
+    nearest that 64 bits hold.
     """
     spark = vectors.sparkSession
     own = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    kept = common.cut(own.mapInArrow(quantise, "row long, vec_id long, v binary, norm long"))
+    kept = common.cut(own.mapInArrow(quantise, "row long, vec_id long, v binary, norm long, wide binary"))
     n, queries, longest2, dims = kept.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.coalesce(F.max("norm"), F.lit(0)), (F.coalesce(F.max(F.length("v")), F.lit(0)) / 4).cast("int")).first()
     cores = spark.sparkContext.defaultParallelism
+    far = kept.where("wide IS NOT NULL").count()
     n_blocks = max(1, -(-n // BLOCK_ROWS), min(2 * cores, -(-n // (4 * PAGE))))
     n_groups = max(1, -(-queries // QUERY_ROWS))
     longest2 = float(longest2)
 
     def grow(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        if block >= n_blocks:
+            one = [pickle.dumps(list(zip(table.column("vec_id").to_pylist(), table.column("row").to_pylist(), map(pickle.loads, table.column("wide").to_pylist()))))]
+            return pa.Table.from_pydict({"block": [block], "node": [0], "centre": [None], "radius": [None], "up": [None], "children": [None], "d": [None], "ids": [None], "rows": [None], "v": one}, pages_schema)
         packed = table.column("v").to_pylist()
         x = matrix(packed, dims)
         nodes = build(np.hstack([x, np.sqrt(np.maximum(0, longest2 - (x**2).sum(axis=1)))[:, None]]))
@@ -200,38 +230,63 @@ def top_k(vectors: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
             "ids": pa.array([ids[m["entries"]].tobytes() for m in nodes], pa.binary()),
             "rows": pa.array([rows[m["entries"]].tobytes() for m in nodes], pa.binary()),
             "v": pa.array([x[m["entries"]].astype("<i4").tobytes() for m in nodes], pa.binary()),
-        })
+        }, pages_schema)
 
+    blob = pa.binary()
+    pages_schema = pa.schema({"block": pa.int32(), "node": pa.int32(), "centre": blob, "radius": pa.float64(), "up": pa.float64(), "children": pa.list_(pa.int32()), "d": blob, "ids": blob, "rows": blob, "v": blob})
+    wide_blocks = -(-far // (4 * PAGE))
     schema = "block int, node int, centre binary, radius double, up double, children array<int>, d binary, ids binary, rows binary, v binary"
-    dealt = kept.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int"))
+    place = F.when(F.col("wide").isNull(), F.pmod(F.xxhash64("row"), F.lit(n_blocks))).otherwise(F.pmod(F.xxhash64("row"), F.lit(max(1, wide_blocks))) + n_blocks)
+    dealt = kept.withColumn("block", place.cast("int"))
     index = common.cut(dealt.groupBy("block").applyInArrow(grow, schema))
     asked = kept.where(F.col("vec_id") % every == 0).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(n_groups)).cast("int"))
-    asked = asked.select("row", "vec_id", "v", "part", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    asked = asked.select("row", "vec_id", "v", "wide", "part", F.explode(F.sequence(F.lit(0), F.lit(n_blocks + wide_blocks - 1))).alias("block"))
     index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"row": [], "query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"row": [], "query_id": [], "vec_id": [], "score": [], "near": [], "digits": []}
+
+        def add(row: int, query_id: int, scores: list[int], who: list[int]) -> None:
+            out["row"] += [row] * len(who)
+            out["query_id"] += [query_id] * len(who)
+            out["vec_id"] += who
+            out["score"] += [max(-(1 << 63), min((1 << 63) - 1, x)) for x in scores]
+            out["near"] += map(nearest_float, scores)
+            out["digits"] += map(digits_of, scores)
+
+        def one_by_one(row: int, query_id: int, q: list[int], others) -> None:
+            got = heapq.nsmallest(k, ((-long_dot(q, v), i) for i, r, v in others if r != row))
+            add(row, query_id, [-x for x, _ in got], [i for _, i in got])
+
         if left.num_rows and right.num_rows:
-            nodes, vs, ids, rows, at = [], [], [], [], 0
-            for r in right.sort_by("node").to_pylist():
-                own = np.frombuffer(r["ids"], np.int64)
-                nodes.append({"centre": np.frombuffer(r["centre"]), "radius": r["radius"], "up": r["up"], "children": r["children"], "d": np.frombuffer(r["d"]), "entries": np.arange(at, at + len(own))})
-                at += len(own)
-                ids.append(own)
-                rows.append(np.frombuffer(r["rows"], np.int64))
-                vs.append(np.frombuffer(r["v"], "<i4").reshape(len(own), dims).astype(float))
-            tree = Tree(nodes, np.concatenate(vs), np.concatenate(ids), np.concatenate(rows), longest2)
-            q = matrix(left.column("v").to_pylist(), dims)
-            for x, row, vec_id in zip(q, left.column("row").to_pylist(), left.column("vec_id").to_pylist()):
-                score, who = tree.search(x, row, k)
-                out["row"] += [row] * len(who)
-                out["query_id"] += [vec_id] * len(who)
-                out["vec_id"] += who.tolist()
-                out["score"] += score.astype(np.int64).tolist()
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
-
-    found = asked.groupBy("block", "part").cogroup(index.groupBy("block", "part")).applyInArrow(search, "row long, query_id long, vec_id long, score long")
-    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+            asked = list(zip(*(left.column(c).to_pylist() for c in ("row", "vec_id", "wide", "v"))))
+            whole = lambda w, v: np.frombuffer(v, "<i4").tolist() if w is None else pickle.loads(w)
+            if right.column("block")[0].as_py() >= n_blocks:
+                others = pickle.loads(right.column("v")[0].as_py())
+                for row, query_id, w, v in asked:
+                    one_by_one(row, query_id, whole(w, v), others)
+            else:
+                nodes, vs, ids, rows, at = [], [], [], [], 0
+                for r in right.sort_by("node").to_pylist():
+                    own = np.frombuffer(r["ids"], np.int64)
+                    nodes.append({"centre": np.frombuffer(r["centre"]), "radius": r["radius"], "up": r["up"], "children": r["children"], "d": np.frombuffer(r["d"]), "entries": np.arange(at, at + len(own))})
+                    at += len(own)
+                    ids.append(own)
+                    rows.append(np.frombuffer(r["rows"], np.int64))
+                    vs.append(np.frombuffer(r["v"], "<i4").reshape(len(own), dims).astype(float))
+                vectors, ids, rows = np.concatenate(vs), np.concatenate(ids), np.concatenate(rows)
+                tree = Tree(nodes, vectors, ids, rows, longest2)
+                plain = [x for x in asked if x[2] is None]
+                for (row, query_id, _, _), q in zip(plain, matrix([x[3] for x in plain], dims)):
+                    score, who = tree.search(q, row, k)
+                    add(row, query_id, score.astype(np.int64).tolist(), who.tolist())
+                for row, query_id, w, _ in (x for x in asked if x[2] is not None):
+                    one_by_one(row, query_id, pickle.loads(w), zip(ids.tolist(), rows.tolist(), (x.astype(np.int64).tolist() for x in vectors)))
+        kinds = {"near": pa.float64(), "digits": pa.string()}
+        return pa.table({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()})
+
+    found = asked.groupBy("block", "part").cogroup(index.groupBy("block", "part")).applyInArrow(search, "row long, query_id long, vec_id long, score long, near double, digits string")
+    best = Window.partitionBy("row").orderBy(F.desc("near"), F.desc("digits"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

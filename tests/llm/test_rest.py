@@ -239,6 +239,22 @@ def test_awkward_vectors(spark):
     assert mtree.top_k(df.where("false")).collect() == [] and mtree.top_k(df.where("embedding is null")).collect() == []
 
 
+def test_components_of_any_size(spark):
+    """Finite components whose 64-fold, or whose products, leave the range of integers and floats."""
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(size=4) * rng.choice([1, 1e4, 1e7, 1e12, 1e200])).tolist()) for i in range(120)]
+    rows += [(140, [1.7e308, 1.0, -1.7e308, 0.5]), (141, [1e306] * 4), (160, [-1e307, 1.0, 2.0, 3.0]), (161, [0.5] * 4), (180, [2.0**25 - 1, 1.0]), (181, [2.0**47 + 1, 0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = lambda x: math.floor(64 * x) if abs(x) < 1e300 else 64 * int(x)
+    ints = [(i, [whole(x) for x in v]) for i, v in rows]
+    want = []
+    for a, (q, u) in enumerate(ints):
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(u, v)), i) for b, (i, v) in enumerate(ints) if a != b)[:20]
+            want += [(q, n + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(best)]
+    assert helpers.collected(mtree.top_k(df), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
 def test_many_pages_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(mtree, "BLOCK_ROWS", 300)
     monkeypatch.setattr(mtree, "QUERY_ROWS", 10)
