@@ -184,6 +184,30 @@ def single_windows(total: np.ndarray, starts: np.ndarray, counts: np.ndarray, n_
     return at, distinct[turn], back[which], times[turn], np.searchsorted(bucket[turn], np.arange(n_buckets + 1))
 
 
+def verified(hashes: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Numbers of the stretches of data, equal where the bytes are: those of equal hash are compared, and one that differs gets a number of its own."""
+    code, distinct = pd.factorize(hashes)
+    first = np.full(len(distinct), -1)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    rest = np.flatnonzero(first[code] != np.arange(len(code)))
+    other, n = {}, len(distinct)
+    total, a = np.cumsum(size[rest]), 0
+    while a < len(rest):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + BATCH, side="right")))
+        own = rest[a:b]
+        like = first[code[own]]
+        same = size[own] == size[like]
+        own, like, odd = own[same], like[same], own[~same].tolist()
+        at = np.cumsum(size[own]) - size[own]
+        differ = data[common.ranges(start[own], size[own])] != data[common.ranges(start[like], size[own])]
+        if len(own):
+            odd += own[np.add.reduceat(differ, at) > 0].tolist()
+        for k in odd:
+            code[k] = other.setdefault(data[start[k] : start[k] + size[k]].tobytes(), n + len(other))
+        a = b
+    return code
+
+
 def _settle_segments(sent: list[packed.Arrays]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each chunk's segments, (numbers, starts, counts) of the runs of windows that occur elsewhere."""
     key, h, size, number, twice = (np.concatenate([x[i] for x in sent]) for i in range(5))
@@ -191,7 +215,7 @@ def _settle_segments(sent: list[packed.Arrays]) -> list[tuple[np.ndarray, np.nda
     size = size.astype(np.int64)
     begin = np.cumsum(size) - size
     of = np.repeat(np.arange(len(sent)), [len(x[0]) for x in sent])
-    code, _ = pd.factorize(common.mix64(h ^ common.mix64(key.astype(np.uint64))))
+    code = verified(common.mix64(h ^ common.mix64(key.astype(np.uint64))), data, begin, size)
     times = np.bincount(code, weights=1.0 + twice).astype(np.int64)
     first = np.full(len(times), -1)
     first[code[::-1]] = np.arange(len(code))[::-1]
@@ -241,8 +265,8 @@ def deduplicate(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     A byte goes if a string of 200 bytes covers it that also starts elsewhere, in this or another row. Of columns doc_id
     and text; others play no part. Null text: as an empty one. Repeated rows, even with one doc_id, are texts of their
-    own, so both lose what they share. Empty table: empty result. Grams and whole segments are equal if their 64-bit
-    hashes are; windows of unequal segments are compared by their bytes.
+    own, so both lose what they share. Empty table: empty result. Hashes of grams only tell where strings meet; there they are compared by their bytes, but
+    for the windows around a gram that occurs more than `hot` times, which are equal if their 64-bit hashes are.
     """
     chunks = packed.pack(docs, CHUNK)
     n_buckets = packed.buckets(chunks)
@@ -277,10 +301,10 @@ def deduplicate(docs: DataFrame, hot: int = HOT) -> DataFrame:
         some, many = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
         key, start, size = grams.key[some], grams.start[some], grams.count[some] + LENGTH - 1
         h = common.mix64(packed.hashed(grams.total, start, start + size) + size.astype(np.uint64))
-        number, distinct = pd.factorize(common.mix64(h ^ grams.keys[key]))
-        first = np.full(len(distinct), -1)
+        number = verified(common.mix64(h ^ grams.keys[key]), data, start, size)
+        first = np.full(number.max(initial=-1) + 1, -1)
         first[number[::-1]] = np.arange(len(number))[::-1]
-        times = np.bincount(number, minlength=len(distinct))
+        times = np.bincount(number, minlength=len(first))
         by = np.argsort(number, kind="stable")
         mine = int(common.mix64(np.array([chunk], np.uint64))[0] % np.uint64(n_buckets))
         sent.append((mine, 1, packed.press([times.astype(np.uint32), start[by].astype(np.uint32), grams.start[many].astype(np.uint32), grams.count[many].astype(np.uint32)])))

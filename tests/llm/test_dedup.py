@@ -61,6 +61,20 @@ def test_suffix_arrays_on_documents(spark):
     assert helpers.collected(suffixes.deduplicate(df)) == by_bytes(pairs(df))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.binary(min_size=1, max_size=4).map(lambda x: bytes(c % 2 for c in x))), min_size=1, max_size=20))
+def test_equal_hashes_are_compared(pairs):
+    """Hashes that collide at will: the numbers are those of the bytes, apart from equal bytes under different hashes."""
+    size = np.array([len(b) for _, b in pairs])
+    got = suffixes.verified(np.array([h for h, _ in pairs], np.uint64), np.frombuffer(b"".join(b for _, b in pairs), np.uint8), np.cumsum(size) - size, size)
+    for (h, x), c in zip(pairs, got.tolist()):
+        for (g, y), d in zip(pairs, got.tolist()):
+            if h == g:
+                assert (c == d) == (x == y)
+            elif x != y:
+                assert c != d
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab\x01", min_size=0, max_size=60), min_size=1, max_size=6))
 def test_two_stage_sorting(texts):
