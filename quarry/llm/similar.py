@@ -4,7 +4,9 @@ Fingerprints alone can't decide that: at a similarity of 0.8 SimHash differs in
 then, which bit blocks don't find. So close fingerprints (op9's search, pivot tables included) and agreeing minimum hashes
 only propose pairs; each is verified on the whole sets, and what is linked is one component from then on. Then a join
 completes the links: of two sets in one total order that are similar enough, the first fifths share a shingle. This holds
-for any order, so none is lost; the order only puts what is known to be common last. Pairs inside a component aren't made.
+for any order, so none is lost; the order only puts what is known to be common last. Nodes that share such a shingle form a
+group, and in a group sizes and parities tell most pairs apart: shingles are dealt to bits, each with the parity of how many it
+got, and two sets differ in no fewer shingles than bits. Pairs inside a component aren't made.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ BANDS, ROWS = 12, 4
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: About so many texts tell which shingles are common, and at most so many of those are sent to every task. Only the order depends on it.
 SAMPLE, MOST_COMMON = 20_000, 1 << 19
-#: Pairs that a bucket looks at in one step.
-STEP = 2_000_000
+#: Pairs that a group looks at in one step, least bits of a parity, and nodes that are sent to every task.
+STEP, LEAST_BITS, MOST_BROADCAST = 500_000, 512, 500_000
 
 
 def shingle_lists(part: pa.RecordBatch) -> list[np.ndarray]:
@@ -74,30 +76,53 @@ def heads(sets: list[np.ndarray], known: np.ndarray, rank: np.ndarray) -> tuple[
     return every[own], of[own], place[own], size[of[own]]
 
 
-def meet(token: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray):
-    """Pairs of nodes of different components that share a token and whose sizes and places allow enough in common."""
-    order = np.lexsort((node, root, token))
-    token, node, root, size, place = (x[order] for x in (token, node, root, size, place))
-    n = len(token)
-    if not n:
-        return
-    new = np.r_[True, token[1:] != token[:-1]]
-    group = np.r_[np.flatnonzero(new), n]
-    block = np.r_[np.flatnonzero(new | np.r_[True, root[1:] != root[:-1]]), n]
-    past = np.repeat(block[1:], np.diff(block))  # those after the own component
-    reach = np.repeat(group[1:], np.diff(group)) - past
-    total, at = np.cumsum(reach), 0
-    while at < n:
-        base = total[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(total, base + STEP, side="right")))
-        a = np.repeat(np.arange(at, end), reach[at:end])
-        b = common.ranges(past[at:end], reach[at:end])
-        most = np.minimum(size[a] - place[a], size[b] - place[b])  # as much as they share if this is the first
-        near = (PART + WHOLE) * most >= WHOLE * (size[a] + size[b])
-        a, b = node[a[near]], node[b[near]]
-        if len(a):
-            yield np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-        at = end
+def parity(own: np.ndarray) -> bytes:
+    """For each of a power of two of bits, at least as many as shingles, whether an odd number of shingles fell to it."""
+    bits = max(LEAST_BITS, 1 << max(0, len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def groups(token: np.ndarray, node: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group and node of the nodes that share a token, if they are of several components; equal groups once, by a hash of their nodes."""
+    none = np.zeros(0, np.int64)
+    if not len(token):
+        return none, none
+    order = np.lexsort((node, token))
+    token, node, root = token[order], node[order], root[order]
+    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    size = np.diff(np.r_[start, len(token)])
+    several = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+    start, size = start[several], size[several]
+    if not len(start):
+        return none, none
+    every = common.ranges(start, size)
+    name = np.add.reduceat(common.mix64(node[every].view(np.uint64)), np.cumsum(size) - size)
+    name, first = np.unique(name, return_index=True)
+    return np.repeat(name.view(np.int64), size[first]), node[common.ranges(start[first], size[first])]
+
+
+def near(node: np.ndarray, root: np.ndarray, size: np.ndarray, parities: list[bytes]) -> np.ndarray:
+    """Pairs u > v of nodes of different components, as two rows, that sizes and parities don't tell apart."""
+    out = [np.zeros((2, 0), np.int64)]
+    width = np.array([len(x) for x in parities])
+    for w in np.unique(width).tolist():  # similar sets are of one width or of neighbouring ones; the wider is folded
+        own = np.flatnonzero((width == w) | (width == 2 * w))
+        bits = np.array([np.frombuffer(parities[i], "<u8") if width[i] == w else np.bitwise_xor(*np.frombuffer(parities[i], "<u8").reshape(2, -1)) for i in own.tolist()])
+        turn = np.argsort(size[own], kind="stable")
+        own, bits = own[turn], bits[turn]
+        n, r, z, narrow = node[own], root[own], size[own], width[own] == w
+        reach = np.searchsorted(z, z * PART // WHOLE, side="right") - np.arange(len(z)) - 1
+        total, at = np.cumsum(reach), 0
+        while at < len(z):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + max(1, STEP * 64 // w), side="right")))
+            a = np.repeat(np.arange(at, end), reach[at:end])
+            b = common.ranges(np.arange(at, end) + 1, reach[at:end])
+            on = (r[a] != r[b]) & narrow[a]  # the smaller is the narrower
+            a, b = a[on], b[on]
+            on = (PART + WHOLE) * np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= (PART - WHOLE) * (z[a] + z[b])
+            out.append(np.stack([np.maximum(n[a[on]], n[b[on]]), np.minimum(n[a[on]], n[b[on]])]))
+            at = end
+    return np.unique(np.concatenate(out, axis=1), axis=1)
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -114,32 +139,41 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(*(b.column(c).to_pylist() for c in ("x", "y")))]
             yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
     found = common.cut(docs.join(wanted, "_row", "left_semi").select("_row", "text").mapInArrow(sets, "_row long, own binary"))
     first, second = (found.select(F.col("_row").alias(k), F.col("own").alias(c)) for k, c in (("u", "x"), ("v", "y")))
     return common.cut(pairs.join(first, "u").join(second, "v").select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"))
 
 
-def proposed(nodes: DataFrame) -> DataFrame:
-    """Pairs u > v of nodes to verify first: links between close fingerprints, and for each node the one hub that it agrees with most.
-
-    The hub of nodes with one fingerprint, or with the same minima in one band, is the least of them. So a node gives at most one pair, however many nodes
-    it agrees with.
-    """
+def close(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes by links between close fingerprints, each fingerprint's least node for all of its nodes."""
     by_print = common.cut(nodes.groupBy("fp").agg(F.min("node").alias("hub")))
-    close = simhash.links(by_print.select("fp"), by_print.count(), DISTANCE)
+    found = simhash.links(by_print.select("fp"), by_print.count(), DISTANCE)
     side = lambda c, to: by_print.select(F.col("fp").alias(c), F.col("hub").alias(to))
-    close = close.join(side("u", "a"), "u").join(side("v", "b"), "v").select(F.col("a").alias("node"), F.col("b").alias("hub"))
-    keyed = nodes.select("node", F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "key"))
-    hubs = keyed.groupBy("band", "key").agg(F.min("node").alias("hub"))
-    agree = keyed.join(hubs, ["band", "key"]).where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
-    agree = agree.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
-    every = close.unionByName(agree).where("node != hub")
-    return every.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
+    return _ordered(found.join(side("u", "a"), "u").join(side("v", "b"), "v").select(F.col("a").alias("node"), F.col("b").alias("hub")))
+
 
+def agreeing(nodes: DataFrame) -> DataFrame:
+    """For each node, the one pair with the hub that it agrees with most, of those in other components.
+
+    The hub of nodes with one fingerprint, or with the same minima in one band, is the node of the least component and number among them. So a node gives
+    at most one pair, however many nodes it agrees with.
+    """
+    keyed = nodes.select("node", "root", F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "key"))
+    hubs = keyed.groupBy("band", "key").agg(F.min(F.struct("root", "node")).alias("hub"))
+    agree = keyed.join(hubs, ["band", "key"]).where(F.col("root") != F.col("hub.root")).groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("n"))
+    return _ordered(agree.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")))
 
-def joined(docs: DataFrame, labels: DataFrame) -> DataFrame:
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("node != hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
+
+
+def joined(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs u > v of nodes of different components that may be similar: all that are, and few others."""
-    base = docs.select("_row", "text").join(labels, F.col("_row") == F.col("node")).select("node", "root", "text")
+    labels = nodes.select("node", "root")
+    base = docs.select("_row", "text").join(F.broadcast(labels) if labels.count() <= MOST_BROADCAST else labels, F.col("_row") == F.col("node")).select("node", "root", "text")
     n, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_buckets = common.partitions(n_bytes, 16 << 20, docs.sparkSession.sparkContext.defaultParallelism)
     every = max(1, n // SAMPLE)
@@ -157,7 +191,7 @@ def joined(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def deal(batches):
         for part in common.slices(batches):
-            token, of, place, size = heads([np.unique(x) for x in shingle_lists(part)], *shared.value)
+            token, of, _, _ = heads([np.unique(x) for x in shingle_lists(part)], *shared.value)
             node, root = (part.column(c).to_numpy() for c in ("node", "root"))
             bucket = (common.mix64(token) % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -166,16 +200,20 @@ def joined(docs: DataFrame, labels: DataFrame) -> DataFrame:
             blobs = []
             for b in full:
                 k = order[edge[b] : edge[b + 1]]
-                blobs.append(packed.press([token[k], node[of[k]], root[of[k]], size[k].astype(np.uint32), place[k].astype(np.uint32)]))
+                blobs.append(packed.press([token[k], node[of[k]], root[of[k]]]))
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
-    def pairs(table: pa.Table) -> pa.Table:
-        token, node, root, size, place = (np.concatenate(x) for x in zip(*(packed.unpress(b) for b in table.column("blob").to_pylist())))
-        found = list(meet(token, node, root, size.astype(np.int64), place.astype(np.int64)))
-        found = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+    def gather(table: pa.Table) -> pa.Table:
+        name, node = groups(*(np.concatenate(x) for x in zip(*(packed.unpress(b) for b in table.column("blob").to_pylist()))))
+        return pa.table({"name": pa.array(name, pa.int64()), "node": pa.array(node, pa.int64())})
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = near(*(table.column(c).to_numpy() for c in ("node", "root", "size")), table.column("parity").to_pylist())
         return pa.table({"u": pa.array(found[0], pa.int64()), "v": pa.array(found[1], pa.int64())})
 
-    return base.mapInArrow(deal, "bucket long, blob binary").groupBy("bucket").applyInArrow(pairs, "u long, v long")
+    grouped = common.cut(base.mapInArrow(deal, "bucket long, blob binary").groupBy("bucket").applyInArrow(gather, "name long, node long")).distinct()
+    told = grouped.join(nodes.select("node", "root", "size", "parity"), "node")
+    return told.groupBy("name").applyInArrow(compare, "u long, v long")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
@@ -193,20 +231,21 @@ def first_of_each(docs: DataFrame) -> DataFrame:
             bands = minima(sets).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
             digest = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_row"), digest, pa.array(fps.view(np.int64)), bands], ["doc_id", "_row", "digest", "fp", "bands"])
+            more = [pa.array([len(x) for x in sets], pa.int64()), pa.array(map(parity, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_row"), digest, pa.array(fps.view(np.int64)), bands, *more], ["doc_id", "_row", "digest", "fp", "bands", "size", "parity"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "_row", "text").mapInArrow(run, "doc_id long, _row long, digest binary, fp long, bands array<long>")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "_row", "text").mapInArrow(run, "doc_id long, _row long, digest binary, fp long, bands array<long>, size long, parity binary")
     found = common.cut(found)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
     nodes = found.groupBy("digest").agg(first, F.min("fp").alias("fp"))
     nodes = nodes.withColumn("node", F.col("first")["_row"])
-    nodes = common.cut(nodes.join(found.select("_row", "bands"), F.col("node") == F.col("_row")).select("node", "first", "fp", "bands"))
+    nodes = common.cut(nodes.join(found.select("_row", "bands", "size", "parity"), F.col("node") == F.col("_row")).select("node", "first", "fp", "bands", "size", "parity"))
 
-    def label(edges: DataFrame) -> DataFrame:
+    def labelled(edges: DataFrame) -> DataFrame:
         roots = simhash.components(edges).withColumnRenamed("node", "_node")
-        return common.cut(nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root")))
+        return common.cut(nodes.join(roots, F.col("node") == F.col("_node"), "left").drop("_node").withColumn("root", F.coalesce("root", "node")))
 
-    links = verified(proposed(nodes), docs)
-    labels = label(links)
-    links = links.unionByName(verified(joined(docs, labels), docs))
-    return common.cut(nodes.select("node", "first").join(label(links), "node").groupBy("root").agg(F.min("first")["_row"].alias("_row")).select("_row"))
+    links = verified(close(nodes).unionByName(agreeing(nodes.withColumn("root", F.col("node")))), docs)
+    links = links.unionByName(verified(agreeing(labelled(links)), docs))
+    links = links.unionByName(verified(joined(docs, labelled(links)), docs))
+    return common.cut(labelled(links).groupBy("root").agg(F.min("first")["_row"].alias("_row")).select("_row"))

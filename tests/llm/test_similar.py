@@ -57,7 +57,25 @@ def test_near_copies_of_the_small_table(spark):
 
 def test_join_alone_loses_nothing(spark, monkeypatch):
     """Without the pairs proposed first, and whatever is taken to be common."""
-    monkeypatch.setattr(similar, "proposed", lambda nodes: nodes.selectExpr("node as u", "node as v").where("false"))
+    none = lambda nodes: nodes.selectExpr("node as u", "node as v").where("false")
+    monkeypatch.setattr(similar, "close", none)
+    monkeypatch.setattr(similar, "agreeing", none)
     monkeypatch.setattr(similar, "MOST_COMMON", 50)
     rows = copies(2, 20)
     assert stage(spark, rows) == kept(rows)
+
+
+def test_parities_lose_no_similar_pair():
+    """Sets around the similarity, of sizes whose parities differ in width."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (1, 3, 9, 60, 500, 520, 1100):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for _ in range(12):
+            own = base[rng.random(n) > rng.choice([0, 0.05, 0.1, 0.2])]
+            sets.append(np.unique(np.r_[own, rng.integers(0, 1 << 63, rng.integers(0, 1 + n // 9), dtype=np.uint64)]))
+    sets = [x for x in sets if len(x)]
+    some = np.arange(len(sets))
+    got = set(zip(*similar.near(some, some, np.array([len(x) for x in sets]), [similar.parity(x) for x in sets]).tolist()))
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if similar.similar(sets[i], sets[j])}
+    assert want and want <= got and len(got) < 3 * len(want)
