@@ -77,8 +77,9 @@ def heads(sets: list[np.ndarray], known: np.ndarray, rank: np.ndarray) -> tuple[
 
 
 def parity(own: np.ndarray) -> bytes:
-    """For each of a power of two of bits, at least as many as shingles, whether an odd number of shingles fell to it."""
-    bits = max(LEAST_BITS, 1 << max(0, len(own) - 1).bit_length())
+    """For each of a power of two of bits, at least four times as many as shingles, whether an odd number of shingles fell to it. So many that what
+    similar sets differ in seldom meets in one bit: few pairs below 0.79 pass."""
+    bits = max(LEAST_BITS, 1 << max(0, 4 * len(own) - 1).bit_length())
     return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -101,8 +102,10 @@ def groups(token: np.ndarray, node: np.ndarray, root: np.ndarray) -> tuple[np.nd
     return np.repeat(name.view(np.int64), size[first]), node[common.ranges(start[first], size[first])]
 
 
-def near(node: np.ndarray, root: np.ndarray, size: np.ndarray, parities: list[bytes]) -> np.ndarray:
-    """Pairs u > v of nodes of different components, as two rows, that sizes and parities don't tell apart."""
+def near(node: np.ndarray, root: np.ndarray, size: np.ndarray, parities: list[bytes], spanning: bool = False) -> np.ndarray:
+    """Pairs u > v of nodes of different components, as two rows, that sizes and parities don't tell apart. spanning: a forest of them, no more than
+    there are nodes."""
+    label = np.arange(len(node))
     out = [np.zeros((2, 0), np.int64)]
     width = np.array([len(x) for x in parities])
     for w in np.unique(width).tolist():  # similar sets are of one width or of neighbouring ones; the wider is folded
@@ -110,7 +113,7 @@ def near(node: np.ndarray, root: np.ndarray, size: np.ndarray, parities: list[by
         bits = np.array([np.frombuffer(parities[i], "<u8") if width[i] == w else np.bitwise_xor(*np.frombuffer(parities[i], "<u8").reshape(2, -1)) for i in own.tolist()])
         turn = np.argsort(size[own], kind="stable")
         own, bits = own[turn], bits[turn]
-        n, r, z, narrow = node[own], root[own], size[own], width[own] == w
+        r, z, narrow = root[own], size[own], width[own] == w
         reach = np.searchsorted(z, z * PART // WHOLE, side="right") - np.arange(len(z)) - 1
         total, at = np.cumsum(reach), 0
         while at < len(z):
@@ -120,8 +123,14 @@ def near(node: np.ndarray, root: np.ndarray, size: np.ndarray, parities: list[by
             on = (r[a] != r[b]) & narrow[a]  # the smaller is the narrower
             a, b = a[on], b[on]
             on = (PART + WHOLE) * np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= (PART - WHOLE) * (z[a] + z[b])
-            out.append(np.stack([np.maximum(n[a[on]], n[b[on]]), np.minimum(n[a[on]], n[b[on]])]))
-            at = end
+            a, b, at = own[a[on]], own[b[on]], end
+            if spanning:
+                label = simhash.roots(len(node), a, b, label)
+            else:
+                out.append(np.stack([np.maximum(node[a], node[b]), np.minimum(node[a], node[b])]))
+    if spanning:
+        a = np.flatnonzero(label != np.arange(len(node)))
+        out.append(np.stack([np.maximum(node[a], node[label[a]]), np.minimum(node[a], node[label[a]])]))
     return np.unique(np.concatenate(out, axis=1), axis=1)
 
 
@@ -170,8 +179,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("node != hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
 
 
-def joined(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs u > v of nodes of different components that may be similar: all that are, and few others."""
+def meeting(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """name and node of the groups in which all similar nodes of different components meet."""
     labels = nodes.select("node", "root")
     base = docs.select("_row", "text").join(F.broadcast(labels) if labels.count() <= MOST_BROADCAST else labels, F.col("_row") == F.col("node")).select("node", "root", "text")
     n, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -207,11 +216,17 @@ def joined(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         name, node = groups(*(np.concatenate(x) for x in zip(*(packed.unpress(b) for b in table.column("blob").to_pylist()))))
         return pa.table({"name": pa.array(name, pa.int64()), "node": pa.array(node, pa.int64())})
 
+    return common.cut(base.mapInArrow(deal, "bucket long, blob binary").groupBy("bucket").applyInArrow(gather, "name long, node long").distinct())
+
+
+def joined(grouped: DataFrame, nodes: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs u > v of nodes that meet in a group, are of different components and may be similar: all that are, and few others; or a forest of each
+    group's, which links most of what belongs together before all pairs are made of the rest."""
+
     def compare(table: pa.Table) -> pa.Table:
-        found = near(*(table.column(c).to_numpy() for c in ("node", "root", "size")), table.column("parity").to_pylist())
+        found = near(*(table.column(c).to_numpy() for c in ("node", "root", "size")), table.column("parity").to_pylist(), spanning)
         return pa.table({"u": pa.array(found[0], pa.int64()), "v": pa.array(found[1], pa.int64())})
 
-    grouped = common.cut(base.mapInArrow(deal, "bucket long, blob binary").groupBy("bucket").applyInArrow(gather, "name long, node long")).distinct()
     told = grouped.join(nodes.select("node", "root", "size", "parity"), "node")
     return told.groupBy("name").applyInArrow(compare, "u long, v long")
 
@@ -247,5 +262,8 @@ def first_of_each(docs: DataFrame) -> DataFrame:
 
     links = verified(close(nodes).unionByName(agreeing(nodes.withColumn("root", F.col("node")))), docs)
     links = links.unionByName(verified(agreeing(labelled(links)), docs))
-    links = links.unionByName(verified(joined(docs, labelled(links)), docs))
+    nodes_now = labelled(links)
+    grouped = meeting(docs, nodes_now)
+    links = links.unionByName(verified(joined(grouped, nodes_now, True), docs))
+    links = links.unionByName(verified(joined(grouped, labelled(links), False), docs))
     return common.cut(labelled(links).groupBy("root").agg(F.min("first")["_row"].alias("_row")).select("_row"))
