@@ -6,7 +6,9 @@ only propose pairs; each is verified on the whole sets, and what is linked is on
 completes the links: of two sets in one total order that are similar enough, the first fifths share a shingle. This holds
 for any order, so none is lost; the order only puts what is known to be common last. Nodes that share such a shingle form a
 group, and in a group sizes and parities tell most pairs apart: shingles are dealt to bits, each with the parity of how many it
-got, and two sets differ in no fewer shingles than bits. Pairs inside a component aren't made.
+got, and two sets differ in no fewer shingles than bits. What isn't told apart is linked to clusters by a forest, never as pairs.
+Each set is sent once, to its cluster, where the sets themselves decide between nodes of different components. Groups and clusters
+too large for a task are dealt in blocks, of which every two meet.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.
 SAMPLE, MOST_COMMON = 20_000, 1 << 19
 #: Pairs that a group looks at in one step, least bits of a parity, and nodes that are sent to every task.
 STEP, LEAST_BITS, MOST_BROADCAST = 500_000, 512, 500_000
+#: Bytes of parities or of sets that meet in one task.
+MEETING_BYTES = 16 << 20
 
 
 def shingle_lists(part: pa.RecordBatch) -> list[np.ndarray]:
@@ -102,11 +106,8 @@ def groups(token: np.ndarray, node: np.ndarray, root: np.ndarray) -> tuple[np.nd
     return np.repeat(name.view(np.int64), size[first]), node[common.ranges(start[first], size[first])]
 
 
-def near(node: np.ndarray, root: np.ndarray, size: np.ndarray, parities: list[bytes], spanning: bool = False) -> np.ndarray:
-    """Pairs u > v of nodes of different components, as two rows, that sizes and parities don't tell apart. spanning: a forest of them, no more than
-    there are nodes."""
-    label = np.arange(len(node))
-    out = [np.zeros((2, 0), np.int64)]
+def undecided(root: np.ndarray, size: np.ndarray, parities: list[bytes], block: np.ndarray | None = None):
+    """In steps, the pairs (two arrays of indices) of different components, and blocks if given, that sizes and parities don't tell apart."""
     width = np.array([len(x) for x in parities])
     for w in np.unique(width).tolist():  # similar sets are of one width or of neighbouring ones; the wider is folded
         own = np.flatnonzero((width == w) | (width == 2 * w))
@@ -121,17 +122,61 @@ def near(node: np.ndarray, root: np.ndarray, size: np.ndarray, parities: list[by
             a = np.repeat(np.arange(at, end), reach[at:end])
             b = common.ranges(np.arange(at, end) + 1, reach[at:end])
             on = (r[a] != r[b]) & narrow[a]  # the smaller is the narrower
+            if block is not None:
+                on &= block[own[a]] != block[own[b]]
             a, b = a[on], b[on]
             on = (PART + WHOLE) * np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= (PART - WHOLE) * (z[a] + z[b])
-            a, b, at = own[a[on]], own[b[on]], end
-            if spanning:
-                label = simhash.roots(len(node), a, b, label)
+            yield own[a[on]], own[b[on]]
+            at = end
+
+
+def _edges(node: np.ndarray, label: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Pairs u > v that link what label holds together and before doesn't."""
+    a = np.flatnonzero((before == np.arange(len(node))) & (label != before))
+    b = label[a]
+    return np.stack([np.maximum(node[a], node[b]), np.minimum(node[a], node[b])])
+
+
+def near(node: np.ndarray, root: np.ndarray, size: np.ndarray, parities: list[bytes], block: np.ndarray | None = None) -> np.ndarray:
+    """A forest, as two rows, that links all nodes that sizes and parities don't tell apart."""
+    alone = label = np.arange(len(node))
+    for a, b in undecided(root, size, parities, block):
+        label = roots(len(node), a, b, label)
+    return _edges(node, label, alone)
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+    return simhash.roots(n, a, b, label.copy())
+
+
+def alike(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray], block: np.ndarray | None = None) -> np.ndarray:
+    """A forest, as two rows, of the similar sets of different components: linked by pairs that the whole sets decide."""
+    n, size = len(node), np.array([len(x) for x in sets], np.int64)
+    _, first, inverse = np.unique(root, return_index=True, return_inverse=True)
+    before = label = first[inverse]
+    words, every = np.unique(np.concatenate(sets), return_inverse=True)
+    start, marked = np.cumsum(size) - size, np.zeros(len(words), bool)
+    for a, b in undecided(root, size, [parity(x) for x in sets], block):
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        edge = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True]) if len(a) else []
+        for x, y in zip(edge[:-1], edge[1:]):
+            one, others = a[x], b[x:y]
+            others = others[label[others] != label[one]]
+            if not len(others):
+                continue
+            if not size[one]:  # then the others are empty too
+                good = others
             else:
-                out.append(np.stack([np.maximum(node[a], node[b]), np.minimum(node[a], node[b])]))
-    if spanning:
-        a = np.flatnonzero(label != np.arange(len(node)))
-        out.append(np.stack([np.maximum(node[a], node[label[a]]), np.minimum(node[a], node[label[a]])]))
-    return np.unique(np.concatenate(out, axis=1), axis=1)
+                own = every[start[one] : start[one] + size[one]]
+                marked[own] = True
+                begin = np.cumsum(size[others]) - size[others]
+                both = np.add.reduceat(marked[every[common.ranges(start[others], size[others])]], begin, dtype=np.int64)
+                marked[own] = False
+                good = others[PART * both >= WHOLE * (size[one] + size[others] - both)]
+            if len(good):
+                label = roots(n, np.full(len(good), one), good, label)
+    return _edges(node, label, before)
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -219,16 +264,56 @@ def meeting(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return common.cut(base.mapInArrow(deal, "bucket long, blob binary").groupBy("bucket").applyInArrow(gather, "name long, node long").distinct())
 
 
-def joined(grouped: DataFrame, nodes: DataFrame, spanning: bool) -> DataFrame:
-    """Pairs u > v of nodes that meet in a group, are of different components and may be similar: all that are, and few others; or a forest of each
-    group's, which links most of what belongs together before all pairs are made of the rest."""
+def dealt(members: DataFrame) -> DataFrame:
+    """members (name, node, bytes and more) with block, low and high. What of a name meets in (low, high) is at most about MEETING_BYTES and every two
+    of its nodes meet: those of one name are in one place, unless they are too many; then their blocks meet two by two."""
+    k = F.ceil(F.sum("bytes") * 2 / MEETING_BYTES).cast("long")
+    heavy = common.cut(members.groupBy("name").agg(F.sum("bytes").alias("all"), k.alias("k")).where(F.col("all") > MEETING_BYTES).select("name", "k"))
+    n = heavy.count()
+    if not n:
+        return members.withColumns({c: F.lit(0).cast("long") for c in ("block", "low", "high")})
+    every = members.join(F.broadcast(heavy) if n <= MOST_BROADCAST else heavy, "name", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    every = every.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    return every.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("k", "other")
 
-    def compare(table: pa.Table) -> pa.Table:
-        found = near(*(table.column(c).to_numpy() for c in ("node", "root", "size")), table.column("parity").to_pylist(), spanning)
+
+def _met(members: DataFrame, compare) -> DataFrame:
+    """The pairs u, v that compare(table, block) gives for what meets; block tells the two sides of a meeting of two blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table.column("block").to_numpy() if table.column("low")[0] != table.column("high")[0] else None
+        found = compare(table, block)
         return pa.table({"u": pa.array(found[0], pa.int64()), "v": pa.array(found[1], pa.int64())})
 
-    told = grouped.join(nodes.select("node", "root", "size", "parity"), "node")
-    return told.groupBy("name").applyInArrow(compare, "u long, v long")
+    return common.cut(dealt(members).groupBy("name", "low", "high").applyInArrow(run, "u long, v long").distinct())
+
+
+def candidates(grouped: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A forest of each group's nodes of different components that may be similar."""
+    told = grouped.join(nodes.select("node", "root", "size", "parity"), "node").withColumn("bytes", F.length("parity"))
+    return _met(told, lambda table, block: near(*(table.column(c).to_numpy() for c in ("node", "root", "size")), table.column("parity").to_pylist(), block))
+
+
+def settled(found: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between the similar nodes of different components that the pairs u, v of found, which need not be similar, lead from one to the other."""
+    name = simhash.components(found).select(F.col("node").alias("_row"), F.col("root").alias("name"))
+    name = name.unionByName(name.select(F.col("name").alias("_row"), "name").distinct())  # a root isn't among the nodes
+    name = common.cut(name.join(nodes.select(F.col("node").alias("_row"), "root"), "_row"))
+    if name.count() <= MOST_BROADCAST:
+        name = F.broadcast(name)
+
+    def sets(batches):
+        for part in common.slices(batches):
+            own = pa.array([np.unique(x).tobytes() for x in shingle_lists(part)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*map(part.column, ("name", "node", "root")), own], ["name", "node", "root", "own"])
+
+    placed = docs.select("_row", "text").join(name, "_row").select("name", F.col("_row").alias("node"), "root", "text")
+    members = common.cut(placed.mapInArrow(sets, "name long, node long, root long, own binary")).withColumn("bytes", F.length("own"))
+
+    def compare(table, block):
+        return alike(*(table.column(c).to_numpy() for c in ("node", "root")), [np.frombuffer(x, np.uint64) for x in table.column("own").to_pylist()], block)
+
+    return _met(members, compare)
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
@@ -257,13 +342,13 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     nodes = common.cut(nodes.join(found.select("_row", "bands", "size", "parity"), F.col("node") == F.col("_row")).select("node", "first", "fp", "bands", "size", "parity"))
 
     def labelled(edges: DataFrame) -> DataFrame:
-        roots = simhash.components(edges).withColumnRenamed("node", "_node")
-        return common.cut(nodes.join(roots, F.col("node") == F.col("_node"), "left").drop("_node").withColumn("root", F.coalesce("root", "node")))
+        found = simhash.components(edges).withColumnRenamed("node", "_node")
+        few = found.count() <= MOST_BROADCAST
+        every = nodes.join(F.broadcast(found) if few else found, F.col("node") == F.col("_node"), "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
+        return every if few else common.cut(every)
 
     links = verified(close(nodes).unionByName(agreeing(nodes.withColumn("root", F.col("node")))), docs)
     links = links.unionByName(verified(agreeing(labelled(links)), docs))
     nodes_now = labelled(links)
-    grouped = meeting(docs, nodes_now)
-    links = links.unionByName(verified(joined(grouped, nodes_now, True), docs))
-    links = links.unionByName(verified(joined(grouped, labelled(links), False), docs))
+    links = links.unionByName(settled(candidates(meeting(docs, nodes_now), nodes_now), nodes_now, docs))
     return common.cut(labelled(links).groupBy("root").agg(F.min("first")["_row"].alias("_row")).select("_row"))

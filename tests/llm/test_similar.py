@@ -76,6 +76,35 @@ def test_parities_lose_no_similar_pair():
             sets.append(np.unique(np.r_[own, rng.integers(0, 1 << 63, rng.integers(0, 1 + n // 9), dtype=np.uint64)]))
     sets = [x for x in sets if len(x)]
     some = np.arange(len(sets))
-    got = set(zip(*similar.near(some, some, np.array([len(x) for x in sets]), [similar.parity(x) for x in sets]).tolist()))
+    steps = similar.undecided(some, np.array([len(x) for x in sets]), [similar.parity(x) for x in sets])
+    got = {(max(x), min(x)) for a, b in steps for x in zip(a.tolist(), b.tolist())}
     want = {(i, j) for i in range(len(sets)) for j in range(i) if similar.similar(sets[i], sets[j])}
     assert want and want <= got and len(got) < 3 * len(want)
+
+
+def test_blocks_of_large_groups_and_clusters_all_meet(spark, monkeypatch):
+    """Every group and cluster of more than a few texts dealt in blocks."""
+    none = lambda nodes: nodes.selectExpr("node as u", "node as v").where("false")
+    monkeypatch.setattr(similar, "close", none)
+    monkeypatch.setattr(similar, "agreeing", none)
+    monkeypatch.setattr(similar, "MEETING_BYTES", 400)
+    rows = copies(4, 20)
+    assert stage(spark, rows) == kept(rows)
+
+
+def test_alike_is_all_pairs_in_one_meeting_and_across_two():
+    rng = np.random.default_rng(8)
+    sets, base = [], rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+    for _ in range(70):
+        sets.append(np.unique(np.r_[base[rng.random(80) > rng.choice([0, 0.05, 0.12])], rng.integers(0, 1 << 63, rng.integers(0, 9), dtype=np.uint64)]))
+    node = np.arange(70) * 3 + 5
+    root = np.where(np.arange(70) % 9 == 0, node[0], node)
+    block = np.arange(70) % 2
+    for own in (None, block):
+        label = np.arange(70)
+        pairs = [(i, j) for i in range(70) for j in range(i) if root[i] == root[j] or (own is None or own[i] != own[j]) and similar.similar(sets[i], sets[j])]
+        want = simhash.roots(70, *map(np.array, zip(*pairs)), label)
+        u, v = (similar.alike(node, root, sets, own) - 5) // 3
+        same = np.flatnonzero(root == root[0])
+        got = simhash.roots(70, np.r_[u, same], np.r_[v, np.full(len(same), same[0])], np.arange(70))
+        assert (got == want).all() and len(u) < 70
