@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
 
 import numpy as np
@@ -90,6 +91,14 @@ def slices(batches, name: str = "text", limit: int = SLICE_BYTES):
             to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(at, to - at)
             at, done = to, int(ends[to - 1])
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: a Python worker stays for later tasks, whatever it held at most."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library that has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def offsets(column: pa.Array) -> np.ndarray:

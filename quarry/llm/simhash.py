@@ -24,7 +24,7 @@ BUCKET = 4096
 #: taken whole, its memory a dozen bytes a fingerprint.
 SPLITS = 3
 #: Rows of buckets that go through the pivot table together, and pairs that are looked at in one step.
-BATCH, STEP = 1 << 16, 2_000_000
+BATCH, STEP = 1 << 16, 1 << 18
 #: Fingerprints up to which their components, two numbers each, are sent to every task.
 MOST_BROADCAST = 500_000
 _SEEDED = np.random.default_rng(9)
@@ -198,6 +198,7 @@ def _settle(distance: int, most: int):
         held += open_rows
         if held:
             yield links_of(held)
+        common.trim()
 
     return run
 
@@ -227,7 +228,7 @@ def links(distinct: DataFrame, n: int, distance: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node of its component) of every node of the links u-v.
+    """node and root (the smallest node of its component) of every node of the links u-v but the roots.
 
     Large-star and small-star rounds until nothing changes: every round is a group-by and a join, written to the
     shared folder. The number of rounds grows with the logarithm of the nodes.
