@@ -88,7 +88,11 @@ def parity(own: np.ndarray) -> bytes:
 
 
 def groups(token: np.ndarray, node: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Group and node of the nodes that share a token, if they are of several components; equal groups once, by a hash of their nodes."""
+    """Group and node of the nodes that share a token, if they are of several components, each once.
+
+    Tokens whose nodes have the same least hash are one group: the tokens of many near copies, each found in most but not in all of them, make a few
+    groups in place of one each. Whoever shares a token still meets, and no row is added.
+    """
     none = np.zeros(0, np.int64)
     if not len(token):
         return none, none
@@ -100,10 +104,13 @@ def groups(token: np.ndarray, node: np.ndarray, root: np.ndarray) -> tuple[np.nd
     start, size = start[several], size[several]
     if not len(start):
         return none, none
-    every = common.ranges(start, size)
-    name = np.add.reduceat(common.mix64(node[every].view(np.uint64)), np.cumsum(size) - size)
-    name, first = np.unique(name, return_index=True)
-    return np.repeat(name.view(np.int64), size[first]), node[common.ranges(start[first], size[first])]
+    node = node[common.ranges(start, size)]
+    least = np.minimum.reduceat(common.mix64(node.view(np.uint64)), np.cumsum(size) - size)
+    name = np.repeat(least.view(np.int64), size)
+    order = np.lexsort((node, name))
+    name, node = name[order], node[order]
+    first = np.r_[True, (name[1:] != name[:-1]) | (node[1:] != node[:-1])]
+    return name[first], node[first]
 
 
 def undecided(root: np.ndarray, size: np.ndarray, parities: list[bytes], block: np.ndarray | None = None):

@@ -108,3 +108,14 @@ def test_alike_is_all_pairs_in_one_meeting_and_across_two():
         same = np.flatnonzero(root == root[0])
         got = simhash.roots(70, np.r_[u, same], np.r_[v, np.full(len(same), same[0])], np.arange(70))
         assert (got == want).all() and len(u) < 70
+
+
+def test_all_nodes_that_share_a_token_meet_in_a_group():
+    rng = np.random.default_rng(6)
+    held = np.unique(np.stack([rng.integers(0, 60, 400), rng.integers(0, 50, 400)]), axis=1)
+    token, node = held
+    root = node // 2 * 2
+    name, member = similar.groups(token.view(np.uint64), node, root)
+    together = lambda of, who: {(a, b) for t in set(of.tolist()) for a in who[of == t].tolist() for b in who[of == t].tolist() if a // 2 < b // 2}
+    assert together(token, node) <= together(name, member)
+    assert len(set(zip(name.tolist(), member.tolist()))) == len(name) <= len(token)
