@@ -102,6 +102,37 @@ def test_difference_cover_on_documents(spark):
     assert helpers.collected(windows.deduplicate(df)) == by_words(pairs(df))
 
 
+def test_words_whose_polynomials_collide(spark):
+    """The Thue-Morse word and its complement: every polynomial modulo 2^64 with an odd base gives them one hash."""
+    bits = [k.bit_count() % 2 for k in range(4096)]
+    one, other = ("".join(letters[b] for b in bits) for letters in ("ab", "ba"))
+    rest = [f"w{k}" for k in range(19)]
+    df = spark.createDataFrame([(k, " ".join([w, *rest])) for k, w in enumerate((one, other, other))], "doc_id long, text string").repartition(3)
+    assert helpers.collected(windows.deduplicate(df)) == by_words(pairs(df))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 1), min_size=20, max_size=60), st.integers(1, 3))
+def test_windows_of_one_hash_are_told_apart(words, n_hashes):
+    number = np.array(words)
+    at = np.arange(len(words) - 19)
+    rows = [tuple(words[k : k + 20]) for k in at]
+    first, is_first = windows.classes(number, at, np.array([sum(r) % n_hashes for r in rows], np.uint64))
+    assert first.tolist() == np.flatnonzero(is_first).tolist() == [k for k, r in enumerate(rows) if r not in rows[:k]]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 20), st.integers(1, 30), st.sets(st.integers(0, 48))), max_size=4))
+def test_windows_unlike_their_quotes_stay(stretches):
+    number = np.arange(70)
+    quoted, want = [], []
+    for place, length, wrong in stretches:
+        quoted += [-1 if k in wrong else place + k for k in range(length + 19)]
+        want += [place + k for k in range(length) if not wrong & set(range(k, k + 20))]
+    place, length = (np.array([s[i] for s in stretches], np.int64) for i in (0, 1))
+    assert windows.confirmed(place, length, number, np.array(quoted, np.int64)).tolist() == want
+
+
 def test_cover_meets_every_shift():
     for a in range(windows.PERIOD):
         assert any((x + d) % windows.PERIOD in windows.COVER and (x + a + d) % windows.PERIOD in windows.COVER for x in [0] for d in range(windows.PERIOD))
