@@ -397,9 +397,9 @@ def wide_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """250 rows, one at a time, into a buffer of 100."""
-    own = _empty_store(spark, memtable_row_limit=100, memtable_size_limit=1 << 30)
-    for r in logs.read(spark, sf_dir).orderBy("user_id").limit(250).collect():
+    """All rows, one at a time, into a buffer of 900."""
+    own = _empty_store(spark, memtable_row_limit=900, memtable_size_limit=1 << 30)
+    for r in logs.read(spark, sf_dir).toLocalIterator():
         own.insert(list(r))
     return own.rows().agg(F.lit(len(own.manifest.deltas)).alias("deltas"), F.lit(len(own.buffer)).alias("buffered"), F.count("*").alias("n"), F.sum("level").alias("total"))
 
@@ -479,6 +479,6 @@ def oracle_sql() -> dict:
     out["bitmap_counts"] = f"{LOGS}SELECT CAST(count(*) FILTER (WHERE status = 0 OR country = 1) AS BIGINT) AS n_or, CAST(count(*) FILTER (WHERE status = 0 AND country = 1) AS BIGINT) AS n_and, CAST(count(*) FILTER (WHERE NOT status = 0) AS BIGINT) AS n_not FROM logs"
     out["paged_sums"] = f"{LOGS}, n AS (SELECT level, row_number() OVER (ORDER BY user_id) - 1 AS pos FROM logs WHERE level > 50) SELECT CAST(pos // 40 AS INTEGER) AS page, CAST(sum(level) AS DOUBLE) AS value FROM n WHERE pos < 200 GROUP BY 1"
     out["store_wide_groups"] = f"{LOGS}SELECT CAST(timestamp AS VARCHAR) AS key, CAST(count(*) AS DOUBLE) AS value, 'Exact' AS confidence FROM logs GROUP BY timestamp"
-    out["buffer_flush"] = f"{LOGS}SELECT 2 AS deltas, 50 AS buffered, count(*) AS n, CAST(sum(level) AS BIGINT) AS total FROM (SELECT level FROM logs ORDER BY user_id LIMIT 250)"
+    out["buffer_flush"] = f"{LOGS}SELECT CAST(count(*) // 900 AS INTEGER) AS deltas, CAST(count(*) % 900 AS INTEGER) AS buffered, count(*) AS n, CAST(sum(level) AS BIGINT) AS total FROM logs"
     out["streaming_ingest_count"] = statement_sql("SELECT COUNT(*) FROM logs GROUP BY status")
     return out
