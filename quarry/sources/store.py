@@ -245,6 +245,21 @@ class Store:
             out = part if out is None else out.unionByName(part)
         return out
 
+    def statistics(self, column: str) -> dict:
+        """What the manifest keeps of a column, over all segments: rows, n_values, sum, variance, least, greatest. Without values all but the counts are None."""
+        own = [(s.rows, s.stats[column]) for s in self.manifest.segments]
+        found = [x for _, x in own if x["n_values"]]
+        out = {"rows": sum(n for n, _ in own), "n_values": sum(x["n_values"] for x in found)} | dict.fromkeys(("sum", "variance", "least", "greatest"))
+        if not found:
+            return out
+        last = lambda v: (v != v, v)  # noqa: E731  NaN ranks highest
+        out |= {"least": min((x["least"] for x in found), key=last), "greatest": max((x["greatest"] for x in found), key=last)}
+        if found[0]["sum"] is not None:
+            out["sum"] = sum(x["sum"] for x in found)
+            mean = out["sum"] / out["n_values"]
+            out["variance"] = sum(x["n_values"] * (x["variance"] + (x["sum"] / x["n_values"] - mean) ** 2) for x in found) / out["n_values"]
+        return out
+
     def segment_rows(self, segments: list[Segment]) -> DataFrame:
         paths = [f"{self.path}/segments/{s.version}/segment_id={s.id}" for s in segments]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self._empty()

@@ -10,6 +10,7 @@ from quarry.schema import declared
 from quarry.session import connect
 from quarry.sources.store import Delta, Store, plan_lcs, plan_stcs
 from quarry.streaming import ingest
+from tests.conftest import SMALL
 
 TWO = declared([("k", "u64"), ("g", "u8"), ("x", "f64"), ("t", "string")])
 
@@ -191,3 +192,28 @@ def test_order_within_a_load(spark, tmp_path):
     store.load_csv(str(tmp_path / "a.csv"))
     store.compact()
     assert not store.pending() and {r["k"]: r["x"] for r in store.rows().collect()} == {k: 90.0 + k for k in range(10)}
+
+
+def test_statistics_over_segments(spark, tmp_path):
+    """Sums, variances and bounds of several segments merge into those of the table; a segment without values has none."""
+    rows = spark.createDataFrame([(i, i % 3, None if i < 40 else float(i * i), f"t{i % 2}") for i in range(100)], TWO)
+    store = Store(spark, str(tmp_path / "s"), TWO, Config(max_segment_rows=30))
+    assert store.statistics("x") == {"rows": 0, "n_values": 0, "sum": None, "variance": None, "least": None, "greatest": None}
+    store.append(rows)
+    store.compact(all_deltas=True)
+    assert len(store.manifest.segments) == 4
+    x = [float(i * i) for i in range(40, 100)]
+    mean = sum(x) / 60
+    got = store.statistics("x")
+    assert got.pop("variance") == pytest.approx(sum((v - mean) ** 2 for v in x) / 60)
+    assert got == {"rows": 100, "n_values": 60, "sum": sum(x), "least": 1600.0, "greatest": 9801.0}
+    assert store.statistics("t") == {"rows": 100, "n_values": 100, "sum": None, "variance": None, "least": "t0", "greatest": "t1"}
+
+
+def test_statistics_query_over_segments(spark, monkeypatch):
+    """The query takes any number of segments, as a larger table has them."""
+    from quarry.operators import catalog
+
+    one = catalog.statistics(spark, SMALL).collect()
+    monkeypatch.setattr(catalog, "Config", lambda **settings: Config(**{"max_segment_rows": 30} | settings))
+    assert catalog.statistics(spark, SMALL).collect() == one
