@@ -29,13 +29,14 @@ class Answer:
     segments_read: int = 0
 
 
-def answer(store: Store, plan: QueryPlan, mode: approx.Mode | None = None, accuracy: float | None = None) -> Answer:
+def answer(store: Store, plan: QueryPlan, mode: approx.Mode | None = None, accuracy: float | None = None, every_segment: bool = False) -> Answer:
     """The answer by the cheapest way that gives it.
 
     Statistics and sums by value serve only a table without pending rows and a statement without a scan budget; a
     percentile without a filter comes from the digests, and one with a filter from the sample. All ways over segments alone
     give what a scan gives; a percentile is approximate, as its name says. With an accuracy target below 1, segments and
-    then rows in them are sampled at the rate that it asks for.
+    then rows in them are sampled at the rate that it asks for; with every_segment no segment is left out, and only rows
+    are sampled, at the rows' share of that rate.
     """
     predicate.validate(plan, store.schema)
     budget = plan.limit is not None or bool(plan.offset)
@@ -51,7 +52,7 @@ def answer(store: Store, plan: QueryPlan, mode: approx.Mode | None = None, accur
             found.aqp = approx.Diagnostics((mode or approx.MODES["balanced"]).name, "tdigest", 1.0, 0, error * error, error, None, None, None, "High", [])
             return found
     if accuracy is not None and accuracy < 1 and settled and not budget:
-        return _by_accuracy(store, plan, accuracy)
+        return _by_accuracy(store, plan, accuracy, every_segment)
     if mode is None and plan.aggregate.kind == "percentile" and not budget:
         mode = approx.MODES["balanced"]
     if mode is not None and not budget and store.manifest.segments and _few_groups(store, plan):
@@ -65,11 +66,11 @@ def answer(store: Store, plan: QueryPlan, mode: approx.Mode | None = None, accur
     return Answer(rows, "Scan", plan.group_by is not None, scanned, next_offset=plan.next_offset, segments_read=len(pruned))
 
 
-def _by_accuracy(store: Store, plan: QueryPlan, accuracy: float) -> Answer:
+def _by_accuracy(store: Store, plan: QueryPlan, accuracy: float, every_segment: bool) -> Answer:
     """The rate is split between segments and rows; estimates are scaled by the share of rows that was really asked."""
     files, rows = approx.split_rate(approx.rate_of(accuracy, store.config.k))
     every = {str(s.id): s for s in store.manifest.segments}
-    chosen = [every[i] for i in approx.segment_sample([(i, s.rows) for i, s in every.items()], files, store.config.seed)]
+    chosen = list(every.values()) if every_segment else [every[i] for i in approx.segment_sample([(i, s.rows) for i, s in every.items()], files, store.config.seed)]
     share = sum(s.rows for s in chosen) / max(1, sum(s.rows for s in every.values()))
     rows = max(int(rows * 1000), 1) / 1000
     base = approx.MODES["balanced"]

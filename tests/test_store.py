@@ -217,3 +217,12 @@ def test_statistics_query_over_segments(spark, monkeypatch):
     one = catalog.statistics(spark, SMALL).collect()
     monkeypatch.setattr(catalog, "Config", lambda **settings: Config(**{"max_segment_rows": 30} | settings))
     assert catalog.statistics(spark, SMALL).collect() == one
+
+
+def test_accuracy_query_over_segments(spark, monkeypatch):
+    """The rows' sample is that of the whole table, into however many segments it is cut; drawing segments stays what a session does."""
+    from quarry.operators import catalog
+
+    one = catalog.by_accuracy(spark, SMALL).collect()
+    monkeypatch.setattr(catalog, "Config", lambda **settings: Config(**{"max_segment_rows": 150} | settings))
+    assert catalog.by_accuracy(spark, SMALL).collect() == one and one[0]["rate"] == 0.9
