@@ -4,7 +4,7 @@ Layout under the table's folder (any path that Spark can write):
 
     manifest/N.json               what belongs to the table after change N; a number is taken once, so of two writers one fails, and a reader sees all of
                                   a change or none
-    delta/B/                      Parquet files of one flush or load, with the sequence number of each row
+    delta/B/                      Parquet files of one flush or load, with the sequence number of each row; of flushes written together a folder each in it
     segments/V/segment_id=N/      Parquet files sorted by primary key, disjoint in it
     groups/S, sample/S, digest/S  per segment: sums by value, the baked row sample and quantile centroids
 
@@ -15,10 +15,13 @@ segments whose key range they touch, so segments never overlap and a query over
 from __future__ import annotations
 
 import json
+import math
 import threading
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 
 from pyspark.errors import PySparkException
@@ -37,6 +40,8 @@ _BUFFER = 1 << 62
 #: Side tables up to which segments of different compactions keep their own; with more they are merged into one.
 MOST_SIDES = 16
 SIDES = ("groups", "sample", "digest")
+#: Rows that a task which writes many folders is to have at most.
+TASK_ROWS = 1_000_000
 
 
 @dataclass
@@ -45,6 +50,15 @@ class Delta:
     rows: int
     bytes: int
     files: int = 1
+    group: str = ""  # the folder of those written together with it
+
+    @property
+    def number(self) -> int:
+        return int(self.name.split("-")[0])
+
+    @property
+    def path(self) -> str:
+        return f"{self.group}/{LAYER}={self.number}" if self.group else self.name
 
 
 @dataclass
@@ -179,13 +193,78 @@ class Store:
             rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema]).withColumn(SEQ, F.monotonically_increasing_id())
             if files:
                 rows = rows.repartition(files)
-            rows.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{self.key}", "true").option(f"parquet.bloom.filter.fpp#{self.key}", str(self.config.bloom_fpr)).parquet(f"{self.path}/delta/{name}")
-            n = self._delta(name).count()
+            self._delta_writer(rows).parquet(f"{self.path}/delta/{name}")
+            n = self._deltas([Delta(name, 0, 0)]).count()
             self.manifest.next_delta += 1
             self.manifest.deltas.append(Delta(name, n, *self._size(f"delta/{name}")))
             self._commit()
             return n
 
+    def _delta_writer(self, rows: DataFrame):
+        return rows.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{self.key}", "true").option(f"parquet.bloom.filter.fpp#{self.key}", str(self.config.bloom_fpr))
+
+    def insert_all(self, rows: DataFrame) -> int:
+        """Takes the rows in their order as insert() does one at a time, with the same deltas and the same buffer after; returns how many came.
+
+        The driver reads their keys, a part at a time, to find where the buffer is full. All deltas are written by one job and named in one change.
+        """
+        with self._lock:
+            group = f"{self.manifest.next_delta:06d}-{uuid.uuid4().hex[:8]}"
+            plain = f"{self.path}/delta/{group}.unsorted"
+            rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema]).withColumn(SEQ, F.monotonically_increasing_id())
+            rows.write.mode("overwrite").parquet(plain)
+            rows = self.spark.read.schema(rows.schema).parquet(plain)
+            n, edges, again = self._fills(rows)
+            if self.buffer:
+                rows = self._buffered().withColumn(SEQ, F.monotonically_increasing_id() + F.lit(-_BUFFER)).unionByName(rows)
+            rows = rows.withColumn(LAYER, F.lit(self.manifest.next_delta) + _place(SEQ, edges))
+            if again:
+                last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), SEQ)
+                rows = rows.groupBy(F.col(LAYER).alias("_fill"), F.col(f"`{self.key}`").alias("_key")).agg(last.alias("_row")).select("_row.*")
+            end = self.manifest.next_delta + len(edges)
+            left = rows.where(F.col(LAYER) == end).orderBy(SEQ).select(*[F.col(f"`{f.name}`") for f in self.schema]).collect()
+            if edges:
+                added = self._write_group(rows.where(F.col(LAYER) < end), group, len(edges), n)
+                self.manifest.next_delta = end
+                self.manifest.deltas = self.manifest.deltas + added
+                self._commit()
+            self.buffer = {r[self.key]: tuple(r) for r in left}
+            self._delete(f"delta/{group}.unsorted")
+            return n
+
+    def _fills(self, rows: DataFrame) -> tuple[int, list[int], bool]:
+        """How many rows there are, the places from which the buffer is filled anew, and whether a key comes again within one filling."""
+
+        def runs(batches):
+            for b in batches:
+                key, at = b.column(0), b.column(1).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(at) != 1) + 1).tolist(), len(at)]
+                for i, j in zip(cuts, cuts[1:]):
+                    if i < j:
+                        yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 1]), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), key[i:j])], ["at", "keys"])
+
+        kind = T.StructType([T.StructField("at", T.LongType()), T.StructField("keys", T.ArrayType(self.schema[self.key].dataType))])
+        most, n, edges, seen = self._most_rows(), 0, [], set(self.buffer)
+        held = len(seen)
+        for r in rows.select(F.col(f"`{self.key}`"), SEQ).mapInArrow(runs, kind).orderBy("at").toLocalIterator(prefetchPartitions=True):
+            n += len(r["keys"])
+            for i, key in enumerate(r["keys"], r["at"] + 1):
+                seen.add(key)
+                if len(seen) >= most:
+                    edges.append(i)
+                    seen.clear()
+        return n, edges, held + n > len(edges) * most + len(seen)
+
+    def _write_group(self, rows: DataFrame, group: str, count: int, n: int) -> list[Delta]:
+        """Deltas by LAYER, of one file each."""
+        tasks = min(count, max(2 * self.spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS)))
+        rows = rows.repartitionByRange(tasks, LAYER).sortWithinPartitions(LAYER, SEQ)
+        # without their number a filter is as large as the largest
+        self._delta_writer(rows).option(f"parquet.bloom.filter.expected.ndv#{self.key}", str(self._most_rows())).partitionBy(LAYER).parquet(f"{self.path}/delta/{group}")
+        files = self.spark.read.schema(rows.schema).parquet(f"{self.path}/delta/{group}").groupBy(LAYER, F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"), F.max("_metadata.file_size").alias("bytes"))
+        found = files.groupBy(LAYER).agg(F.sum("n"), F.sum("bytes"), F.count("*")).orderBy(LAYER).collect()
+        return [Delta(f"{number:06d}-{group.split('-')[1]}", *sizes, group) for number, *sizes in found]
+
     def load_csv(self, path: str, files: int = 10) -> int:
         from quarry.sources import csv
 
@@ -204,8 +283,11 @@ class Store:
                 self.flush()
 
     def full(self) -> bool:
+        return len(self.buffer) >= self._most_rows()
+
+    def _most_rows(self) -> int:
         width = 16 * len(self.schema.fields) + 16
-        return len(self.buffer) >= self.config.memtable_row_limit or len(self.buffer) * width >= self.config.memtable_size_limit
+        return max(1, math.ceil(min(self.config.memtable_row_limit, self.config.memtable_size_limit / width)))
 
     def flush(self) -> int:
         with self._lock:
@@ -220,8 +302,24 @@ class Store:
 
     # reading
 
-    def _delta(self, name: str) -> DataFrame:
-        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField(SEQ, T.LongType())])).parquet(f"{self.path}/delta/{name}").withColumn(LAYER, F.lit(int(name.split("-")[0])).cast("long"))
+    def _deltas(self, deltas: list[Delta]) -> DataFrame | None:
+        """The rows of the deltas with SEQ and LAYER: one read for all that were written singly, and one for each group."""
+        fields = [*self.schema.fields, T.StructField(SEQ, T.LongType())]
+        groups: dict[str, list[Delta]] = {}
+        for d in deltas:
+            groups.setdefault(d.group, []).append(d)
+        out = None
+        for group, own in groups.items():
+            if group:
+                numbers = sorted(d.number for d in own)
+                whole = numbers[-1] - numbers[0] == len(numbers) - 1
+                part = self.spark.read.schema(T.StructType([*fields, T.StructField(LAYER, T.LongType())])).parquet(f"{self.path}/delta/{group}")
+                part = part.where(F.col(LAYER).between(numbers[0], numbers[-1]) if whole else F.col(LAYER).isin(numbers))
+            else:
+                part = self.spark.read.schema(T.StructType(fields)).parquet(*[f"{self.path}/delta/{d.path}" for d in own])
+                part = part.withColumn(LAYER, F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)-[^/]*/[^/]*$", 1).cast("long"))
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def pending(self) -> bool:
         return bool(self.manifest.deltas or self.buffer)
@@ -229,8 +327,8 @@ class Store:
     def _pending_rows(self) -> DataFrame:
         """The newest row of each key in the deltas and the buffer."""
         rows = self._buffered().withColumns({SEQ: F.lit(0).cast("long"), LAYER: F.lit(_BUFFER).cast("long")})
-        for d in self.manifest.deltas:
-            rows = rows.unionByName(self._delta(d.name))
+        if self.manifest.deltas:
+            rows = rows.unionByName(self._deltas(self.manifest.deltas))
         return newest(rows, self.key, LAYER, SEQ).drop(LAYER, SEQ)
 
     def side(self, kind: str, segments: list[Segment] | None = None) -> DataFrame | None:
@@ -270,6 +368,8 @@ class Store:
         if not self.pending():
             return base
         new = self._pending_rows()
+        if not self.manifest.segments:
+            return new
         keys = new.select(F.col(f"`{self.key}`").alias("_newer"))
         return base.join(keys, F.col(f"`{self.key}`").eqNullSafe(F.col("_newer")), "left_anti").unionByName(new)
 
@@ -291,14 +391,10 @@ class Store:
             chosen = {d.name for g in groups for d in g}
             if not chosen:
                 return 0
-            rows = None
             # an older delta that stays behind must not overtake a newer one, so all older ones go along
-            last = max(chosen)
-            chosen |= {d.name for d in self.manifest.deltas if d.name < last}
-            for d in self.manifest.deltas:
-                if d.name in chosen:
-                    part = self._delta(d.name)
-                    rows = part if rows is None else rows.unionByName(part)
+            last = max(d.number for g in groups for d in g)
+            chosen |= {d.name for d in self.manifest.deltas if d.number < last}
+            rows = self._deltas([d for d in self.manifest.deltas if d.name in chosen])
             low, high, bare = rows.agg(F.min(self.key), F.max(self.key), F.count_if(F.col(self.key).isNull())).first()
             touched = [s for s in self.manifest.segments if self._meets(s, low, high, bool(bare))]
             old = self.segment_rows(touched).withColumns({SEQ: F.lit(0).cast("long"), LAYER: F.lit(-1).cast("long")})
@@ -329,7 +425,7 @@ class Store:
         n = rows.count()
         parts = max(1, -(-n // most))
         edges = self._edges(rows, parts)
-        place = _place(F.col(self.key), edges)
+        place = _key_place(F.col(self.key), edges)
         numbered = rows.withColumn("segment_id", (place + base).cast("int"))
         numbered.repartition(max(1, len(edges) + 1), "segment_id").sortWithinPartitions("segment_id", self.key).write.mode("overwrite").option("parquet.page.row.count.limit", self.config.row_group_size).partitionBy("segment_id").parquet(f"{self.path}/segments/{version}")
         self._delete(f"segments/{version}.unsorted")
@@ -339,11 +435,13 @@ class Store:
         self.manifest.segments = [s for s in self.manifest.segments if s not in old] + added
         if len({s.side for s in self.manifest.segments}) > MOST_SIDES:
             self._merge_sides(f"{version}-merged")
+        merged = [d for d in self.manifest.deltas if d.name in deltas]
         self.manifest.deltas = [d for d in self.manifest.deltas if d.name not in deltas]
         self.manifest.next_segment = base + len(edges) + 1
         self._commit()
-        for d in deltas:
-            self._delete(f"delta/{d}")
+        shared = {d.group for d in self.manifest.deltas}
+        for path in {d.path if d.group in shared else d.group or d.path for d in merged}:
+            self._delete(f"delta/{path}")
         for s in old:
             self._delete(f"segments/{s.version}/segment_id={s.id}")
         for side in (before | {version}) - {s.side for s in self.manifest.segments}:
@@ -401,7 +499,7 @@ class Store:
         that they were written with."""
         out = {}
         for d in self.manifest.deltas:
-            out[f"delta/{d.name}"] = self._counted([f"delta/{d.name}"]) == d.rows
+            out[f"delta/{d.name}"] = self._counted([f"delta/{d.path}"]) == d.rows
         for s in self.manifest.segments:
             out[f"segment/{s.id}"] = self._counted([f"segments/{s.version}/segment_id={s.id}"]) == s.rows
         return out
@@ -415,7 +513,18 @@ class Store:
             return -1
 
 
-def _place(key, edges: list):
+def _place(column: str, edges: list[int]):
+    """How many edges are at most the column's value."""
+    at = np.array(edges, np.int64)
+
+    @F.arrow_udf("long")
+    def place(values: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(at, values.to_numpy(zero_copy_only=False), side="right"), pa.int64())
+
+    return place(column)
+
+
+def _key_place(key, edges: list):
     """How many edges are at most the key (null: none), as a tree of comparisons that grows with the logarithm."""
     if not edges:
         return F.lit(0)

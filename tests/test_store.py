@@ -226,3 +226,42 @@ def test_accuracy_query_over_segments(spark, monkeypatch):
     one = catalog.by_accuracy(spark, SMALL).collect()
     monkeypatch.setattr(catalog, "Config", lambda **settings: Config(**{"max_segment_rows": 150} | settings))
     assert catalog.by_accuracy(spark, SMALL).collect() == one and one[0]["rate"] == 0.9
+
+
+def test_insert_all_is_insert_of_each(spark, tmp_path):
+    """Rows at once make the deltas and the buffer that they make one at a time, with keys that come again and rows that are buffered before."""
+    seen = lambda s: [(d.number, d.rows, d.files, sorted(tuple(r) for r in s._deltas([d]).select("k", "x").collect())) for d in s.manifest.deltas]
+    rows = [(i if i < 40 else i * i % 17, 1, float(i), None) for i in range(100)]
+    first, second = (Store(spark, str(tmp_path / n), TWO, Config(memtable_row_limit=7)) for n in ("a", "b"))
+    for s in (first, second):
+        s.append(rows_of(spark, 0, 3, -1.0), 1)
+        for k in (2, 50, 3):
+            s.insert([k, 0, -2.0, "old"])
+    for r in rows:
+        first.insert(list(r))
+    assert second.insert_all(spark.createDataFrame(rows, TWO).repartitionByRange(5, "x").sortWithinPartitions("x")) == 100
+    assert seen(first) == seen(second) and len(seen(first)) > 6 and list(first.buffer.items()) == list(second.buffer.items())
+    assert sorted(first.rows().collect()) == sorted(second.rows().collect())
+    assert second.insert_all(rows_of(spark, 0, 0)) == 0 and seen(first) == seen(second)
+    # deltas written together serve verification and compaction, in part and in whole, and leave nothing behind
+    again = Store(spark, str(tmp_path / "b"))
+    assert all(again.verify().values()) and again.rows().count() == sum(1 for _ in {r["k"] for r in again.rows().collect()})
+    before = sorted(again.rows().collect())
+    older = again.manifest.deltas[:4]
+    again._rewrite(again._pending_rows().limit(0), [], {d.name for d in older})
+    assert [d.number for d in again._deltas(again.manifest.deltas).selectExpr("_layer AS number").distinct().orderBy("number").collect()] == [d.number for d in again.manifest.deltas]
+    other = Store(spark, str(tmp_path / "a"))
+    other.compact(all_deltas=True)
+    assert sorted(other.rows().collect()) == before
+    again.compact(all_deltas=True)
+    assert not again.pending() and not [f for f in (tmp_path / "b" / "delta").iterdir() if not f.name.startswith(".")]
+
+
+def test_buffer_of_many_fillings(spark, tmp_path):
+    """A thousand fillings take few jobs, and a thousand deltas are read at once."""
+    store = Store(spark, str(tmp_path / "s"), TWO, Config(memtable_row_limit=10))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = jobs()
+    assert store.insert_all(rows_of(spark, 0, 10004)) == 10004
+    assert jobs() - before < 60
+    assert len(store.manifest.deltas) == 1000 and len(store.buffer) == 4 and store.rows().count() == 10004
