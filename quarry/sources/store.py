@@ -42,6 +42,8 @@ MOST_SIDES = 16
 SIDES = ("groups", "sample", "digest")
 #: Rows that a task which writes many folders is to have at most.
 TASK_ROWS = 1_000_000
+#: Segments of one rewriting that are read by their paths; with more the folder that holds them is read.
+MOST_PATHS = 100
 
 
 @dataclass
@@ -257,8 +259,7 @@ class Store:
 
     def _write_group(self, rows: DataFrame, group: str, count: int, n: int) -> list[Delta]:
         """Deltas by LAYER, of one file each."""
-        tasks = min(count, max(2 * self.spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS)))
-        rows = rows.repartitionByRange(tasks, LAYER).sortWithinPartitions(LAYER, SEQ)
+        rows = rows.repartitionByRange(min(count, self._tasks(n)), LAYER).sortWithinPartitions(LAYER, SEQ)
         # without their number a filter is as large as the largest
         self._delta_writer(rows).option(f"parquet.bloom.filter.expected.ndv#{self.key}", str(self._most_rows())).partitionBy(LAYER).parquet(f"{self.path}/delta/{group}")
         files = self.spark.read.schema(rows.schema).parquet(f"{self.path}/delta/{group}").groupBy(LAYER, F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"), F.max("_metadata.file_size").alias("bytes"))
@@ -311,10 +312,8 @@ class Store:
         out = None
         for group, own in groups.items():
             if group:
-                numbers = sorted(d.number for d in own)
-                whole = numbers[-1] - numbers[0] == len(numbers) - 1
                 part = self.spark.read.schema(T.StructType([*fields, T.StructField(LAYER, T.LongType())])).parquet(f"{self.path}/delta/{group}")
-                part = part.where(F.col(LAYER).between(numbers[0], numbers[-1]) if whole else F.col(LAYER).isin(numbers))
+                part = part.where(_among(LAYER, [d.number for d in own]))
             else:
                 part = self.spark.read.schema(T.StructType(fields)).parquet(*[f"{self.path}/delta/{d.path}" for d in own])
                 part = part.withColumn(LAYER, F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)-[^/]*/[^/]*$", 1).cast("long"))
@@ -339,7 +338,7 @@ class Store:
             versions.setdefault(s.side or s.version, []).append(s.id)
         out = None
         for version, ids in sorted(versions.items()):
-            part = self.spark.read.parquet(f"{self.path}/{kind}/{version}").where(F.col("segment_id").isin(ids))
+            part = self.spark.read.parquet(f"{self.path}/{kind}/{version}").where(_among("segment_id", ids))
             out = part if out is None else out.unionByName(part)
         return out
 
@@ -359,8 +358,17 @@ class Store:
         return out
 
     def segment_rows(self, segments: list[Segment]) -> DataFrame:
-        paths = [f"{self.path}/segments/{s.version}/segment_id={s.id}" for s in segments]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self._empty()
+        versions: dict[str, list[int]] = {}
+        for s in segments:
+            versions.setdefault(s.version, []).append(s.id)
+        paths = [f"{self.path}/segments/{v}/segment_id={i}" for v, ids in versions.items() if len(ids) <= MOST_PATHS for i in ids]
+        out = self.spark.read.schema(self.schema).parquet(*paths) if paths else None
+        schema = T.StructType([*self.schema.fields, T.StructField("segment_id", T.IntegerType())])
+        for v, ids in versions.items():
+            if len(ids) > MOST_PATHS:
+                part = self.spark.read.schema(schema).parquet(f"{self.path}/segments/{v}").where(_among("segment_id", ids)).drop("segment_id")
+                out = part if out is None else out.unionByName(part)
+        return self._empty() if out is None else out
 
     def rows(self, segments: list[Segment] | None = None) -> DataFrame:
         """The table as it stands: segments, with newer rows in place of older ones. segments: those that may matter."""
@@ -419,31 +427,36 @@ class Store:
         base = self.manifest.next_segment
         version = f"{base:08d}-{uuid.uuid4().hex[:8]}"
         most = max_rows or self.config.max_segment_rows
-        plain = f"{self.path}/segments/{version}.unsorted"
-        rows.write.mode("overwrite").parquet(plain)
-        rows = self.spark.read.schema(self.schema).parquet(plain)
+        plain, ordered = f"segments/{version}.unsorted", f"segments/{version}.ordered"
+        rows.write.mode("overwrite").parquet(f"{self.path}/{plain}")
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/{plain}")
         n = rows.count()
         parts = max(1, -(-n // most))
-        edges = self._edges(rows, parts)
-        place = _key_place(F.col(self.key), edges)
-        numbered = rows.withColumn("segment_id", (place + base).cast("int"))
-        numbered.repartition(max(1, len(edges) + 1), "segment_id").sortWithinPartitions("segment_id", self.key).write.mode("overwrite").option("parquet.page.row.count.limit", self.config.row_group_size).partitionBy("segment_id").parquet(f"{self.path}/segments/{version}")
-        self._delete(f"segments/{version}.unsorted")
-        new = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("segment_id", T.IntegerType())])).parquet(f"{self.path}/segments/{version}") if n else None
-        added = self._describe(new, version) if n else []
+        if parts == 1:
+            numbered = rows.withColumn("segment_id", F.lit(base))
+            pieces = numbered.repartition(1)
+        else:
+            numbered = self._numbered(rows, n, parts, base, ordered)
+            pieces = numbered.repartitionByRange(min(parts, self._tasks(n)), "segment_id")
+        pieces.sortWithinPartitions("segment_id", self.key).write.mode("overwrite").option("parquet.page.row.count.limit", self.config.row_group_size).partitionBy("segment_id").parquet(f"{self.path}/segments/{version}")
+        added = self._describe(numbered, version) if n else []
+        self._delete(plain)
+        self._delete(ordered)
         before = {s.side for s in self.manifest.segments}
-        self.manifest.segments = [s for s in self.manifest.segments if s not in old] + added
+        gone = {s.id for s in old}
+        self.manifest.segments = [s for s in self.manifest.segments if s.id not in gone] + added
         if len({s.side for s in self.manifest.segments}) > MOST_SIDES:
             self._merge_sides(f"{version}-merged")
         merged = [d for d in self.manifest.deltas if d.name in deltas]
         self.manifest.deltas = [d for d in self.manifest.deltas if d.name not in deltas]
-        self.manifest.next_segment = base + len(edges) + 1
+        self.manifest.next_segment = base + parts
         self._commit()
         shared = {d.group for d in self.manifest.deltas}
         for path in {d.path if d.group in shared else d.group or d.path for d in merged}:
             self._delete(f"delta/{path}")
-        for s in old:
-            self._delete(f"segments/{s.version}/segment_id={s.id}")
+        versions = {s.version for s in self.manifest.segments}
+        for path in {f"{s.version}/segment_id={s.id}" if s.version in versions else s.version for s in old}:
+            self._delete(f"segments/{path}")
         for side in (before | {version}) - {s.side for s in self.manifest.segments}:
             for kind in SIDES:
                 self._delete(f"{kind}/{side}")
@@ -455,18 +468,19 @@ class Store:
                 found.write.mode("overwrite").parquet(f"{self.path}/{kind}/{name}")
         self.manifest.segments = [replace(s, side=name) for s in self.manifest.segments]
 
-    def _edges(self, rows: DataFrame, parts: int) -> list:
-        """Keys at which segments begin, so that none holds more than its share by much."""
-        if parts == 1:
-            return []
-        kind = self.schema[self.key].dataType
-        if isinstance(kind, T.NumericType):
-            found = rows.agg(F.percentile_approx(self.key, [i / parts for i in range(1, parts)], max(10000, 20 * parts))).first()[0]
-        else:
-            sampled = rows.select(self.key).where(F.pmod(F.xxhash64(self.key), F.lit(max(1, rows.count() // (100 * parts)))) == 0)
-            values = [r[0] for r in sampled.distinct().orderBy(self.key).collect()]
-            found = values[:: max(1, len(values) // parts)][1:]
-        return sorted(set(found or []))
+    def _tasks(self, n: int) -> int:
+        return max(2 * self.spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
+
+    def _numbered(self, rows: DataFrame, n: int, parts: int, base: int, folder: str) -> DataFrame:
+        """The rows with segment_id, from base: by their place in order of the key, in as many equal parts. The order is written to the folder."""
+        rows = rows.repartitionByRange(self._tasks(n), F.col(f"`{self.key}`")).sortWithinPartitions(F.col(f"`{self.key}`")).withColumn(SEQ, F.monotonically_increasing_id())
+        rows.write.mode("overwrite").parquet(f"{self.path}/{folder}")
+        rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{folder}")
+        part = F.shiftright(SEQ, 33).cast("int")
+        counts = {r["part"]: r["count"] for r in rows.groupBy(part.alias("part")).count().collect()}
+        before = np.cumsum([0, *(counts.get(k, 0) for k in range(max(counts)))]).tolist()
+        place = F.element_at(F.array(*map(F.lit, before)), part + 1) + F.col(SEQ).bitwiseAND(F.lit((1 << 33) - 1))
+        return rows.withColumn("_place", place).withColumn("segment_id", F.expr(f"CAST({base} + _place * {parts}L DIV {n}L AS INT)")).drop("_place", SEQ)
 
     def _describe(self, rows: DataFrame, version: str) -> list[Segment]:
         """Statistics of the new segments, and their side tables, each from one aggregation."""
@@ -524,18 +538,20 @@ def _place(column: str, edges: list[int]):
     return place(column)
 
 
-def _key_place(key, edges: list):
-    """How many edges are at most the key (null: none), as a tree of comparisons that grows with the logarithm."""
-    if not edges:
-        return F.lit(0)
-
-    def search(a: int, b: int):
-        if a == b:
-            return F.lit(a)
-        mid = (a + b) // 2
-        return F.when(key >= F.lit(edges[mid]), search(mid + 1, b)).otherwise(search(a, mid))
-
-    return search(0, len(edges))
+def _among(column: str, numbers: list[int]):
+    """Whether the column's value is one of the numbers, as runs of them if these are few."""
+    runs: list[list[int]] = []
+    for x in sorted(numbers):
+        if runs and x == runs[-1][1] + 1:
+            runs[-1][1] = x
+        else:
+            runs.append([x, x])
+    if len(runs) > 32:
+        return F.col(column).isin(numbers)
+    out = F.lit(False)
+    for a, b in runs:
+        out = out | F.col(column).between(a, b)
+    return out
 
 
 def newest(rows: DataFrame, key: str, *order: str) -> DataFrame:

@@ -265,3 +265,28 @@ def test_buffer_of_many_fillings(spark, tmp_path):
     assert store.insert_all(rows_of(spark, 0, 10004)) == 10004
     assert jobs() - before < 60
     assert len(store.manifest.deltas) == 1000 and len(store.buffer) == 4 and store.rows().count() == 10004
+
+
+def test_resplit_into_many(spark, tmp_path):
+    """Thousands of segments take tasks by their rows, not one each; none has more rows than asked for, whatever the key's type, and all stay readable."""
+    text = declared([("t", "string"), ("x", "f64")])
+    store = Store(spark, str(tmp_path / "s"), text)
+    store.append(spark.createDataFrame([(f"{i * 7919 % 5000:05d}" if i else None, float(i)) for i in range(5000)], text))
+    store.compact(all_deltas=True)
+    spark.sparkContext.setJobGroup("resplit", "")
+    assert store.resplit(7) == -(-5000 // 7)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("resplit") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) < 100
+    own = store.manifest.segments
+    assert max(s.rows for s in own) <= 7 and sum(s.rows for s in own) == 5000
+    spans = sorted((s.stats["t"]["least"], s.stats["t"]["greatest"]) for s in own)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert store.rows().agg({"x": "sum"}).first()[0] == sum(range(5000)) and store.rows(own[3:5]).count() == own[3].rows + own[4].rows
+    assert store.rows(own[::2]).count() == sum(s.rows for s in own[::2]) and store.side("digest", own[:200]).count() == sum(s.rows for s in own[:200])
+    # some of many are replaced, then all of them by few
+    store.append(spark.createDataFrame([("00010", -1.0)], text))
+    assert store.compact(all_deltas=True) == 1 and len(store.manifest.segments) == len(own)
+    assert store.resplit(3000) == 2 and store.rows().agg({"x": "sum"}).first()[0] == sum(range(5000)) - 1 - next(i for i in range(5000) if i * 7919 % 5000 == 10)
+    assert len([f for f in (tmp_path / "s" / "segments").iterdir() if not f.name.startswith(".")]) == 1
