@@ -5,7 +5,7 @@ then, which bit blocks don't find. So close fingerprints (op9's search, pivot ta
 only propose pairs; each is verified on the whole sets, and what is linked is one component from then on. Then a join
 completes the links: of two sets in one total order that are similar enough, the first fifths share a shingle. This holds
 for any order, so none is lost; the order only puts what is known to be common last. Nodes that share such a shingle form a
-group, and in a group sizes and parities tell most pairs apart: shingles are dealt to bits, each with the parity of how many it
+group, unless the shingle stands so late in them that, were it the first they share, too few could follow; in a group sizes and parities tell most pairs apart: shingles are dealt to bits, each with the parity of how many it
 got, and two sets differ in no fewer shingles than bits. What isn't told apart is linked to clusters by a forest, never as pairs.
 Each set is sent once, to its cluster, where the sets themselves decide between nodes of different components. Groups and clusters
 too large for a task are dealt in blocks, of which every two meet.
@@ -32,6 +32,8 @@ _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.
 SAMPLE, MOST_COMMON = 20_000, 1 << 19
 #: Pairs that a group looks at in one step, least bits of a parity, and nodes that are sent to every task.
 STEP, LEAST_BITS, MOST_BROADCAST = 500_000, 512, 500_000
+#: Nodes of a token up to which every two are looked at.
+FEW = 32
 #: Bytes of parities or of sets that meet in one task.
 MEETING_BYTES = 16 << 20
 
@@ -87,6 +89,37 @@ def parity(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
+def partnered(token: np.ndarray, root: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which rows, in order of token, may have the token as the first that they share with a similar set of another component.
+
+    From places i and j on, sets of sizes a and b share at most min(a - i, b - j) shingles, and similar ones share 4/9 of a + b: so b is at most
+    (5 a - 9 i) / 4, and a at most (5 b - 9 j) / 4. A similar pair meets this at its first common shingle, so none is lost. Of more than FEW rows
+    some may be told to have a partner that have none.
+    """
+    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    count = np.diff(np.r_[start, len(token)])
+    most = ((PART * size - (PART + WHOLE) * place) // WHOLE).astype(np.int64)
+    out = np.zeros(len(token), bool)
+    few = count <= FEW
+    rows = common.ranges(start[few], count[few])
+    begin, reach = np.repeat(start[few], count[few]), np.repeat(count[few], count[few])
+    step = max(1, STEP // FEW)
+    for at in range(0, len(rows), step):
+        n = reach[at : at + step]
+        a, b = np.repeat(rows[at : at + step], n), common.ranges(begin[at : at + step], n)
+        on = (root[a] != root[b]) & (size[b] <= most[a]) & (size[a] <= most[b])
+        out[a[on]] = True
+    for x, n in zip(start[~few].tolist(), count[~few].tolist()):
+        order = x + np.argsort(size[x : x + n], kind="stable")
+        z, u, r = size[order], most[order], root[order]
+        best = np.maximum.accumulate(u)
+        who = r[np.maximum.accumulate(np.where(u == best, np.arange(n), 0))]
+        mixed = np.maximum.accumulate(r != r[0])
+        last = np.searchsorted(z, u, side="right") - 1  # the rows up to it are small enough
+        out[order] = (last >= 0) & np.where(who[last] == r, mixed[last], best[last] >= z)
+    return out
+
+
 def groups(token: np.ndarray, node: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Group and node of the nodes that share a token, if they are of several components, each once.
 
@@ -252,7 +285,7 @@ def meeting(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def deal(batches):
         for part in common.slices(batches):
-            token, of, _, _ = heads([np.unique(x) for x in shingle_lists(part)], *shared.value)
+            token, of, place, size = heads([np.unique(x) for x in shingle_lists(part)], *shared.value)
             node, root = (part.column(c).to_numpy() for c in ("node", "root"))
             bucket = (common.mix64(token) % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -261,11 +294,14 @@ def meeting(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             blobs = []
             for b in full:
                 k = order[edge[b] : edge[b + 1]]
-                blobs.append(packed.press([token[k], node[of[k]], root[of[k]]]))
+                blobs.append(packed.press([token[k], node[of[k]], root[of[k]], place[k], size[k]]))
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def gather(table: pa.Table) -> pa.Table:
-        name, node = groups(*(np.concatenate(x) for x in zip(*(packed.unpress(b) for b in table.column("blob").to_pylist()))))
+        token, node, *more = (np.concatenate(x) for x in zip(*(packed.unpress(b) for b in table.column("blob").to_pylist())))
+        order = np.argsort(token, kind="stable")
+        order = order[partnered(token[order], *(x[order] for x in more))]
+        name, node = groups(token[order], node[order], more[0][order])
         return pa.table({"name": pa.array(name, pa.int64()), "node": pa.array(node, pa.int64())})
 
     return common.cut(base.mapInArrow(deal, "bucket long, blob binary").groupBy("bucket").applyInArrow(gather, "name long, node long").distinct())

@@ -119,3 +119,30 @@ def test_all_nodes_that_share_a_token_meet_in_a_group():
     together = lambda of, who: {(a, b) for t in set(of.tolist()) for a in who[of == t].tolist() for b in who[of == t].tolist() if a // 2 < b // 2}
     assert together(token, node) <= together(name, member)
     assert len(set(zip(name.tolist(), member.tolist()))) == len(name) <= len(token)
+
+
+@pytest.mark.parametrize("few", [32, 3, 1])
+def test_only_nodes_that_may_be_similar_by_place_and_size_meet(monkeypatch, few):
+    """Whoever has a partner by brute force stays; of few rows nobody else does. A similar pair stays at its first common shingle."""
+    monkeypatch.setattr(similar, "FEW", few)
+    monkeypatch.setattr(similar, "STEP", 64)
+    rng = np.random.default_rng(11)
+    token = np.sort(rng.integers(0, 90, 700)).astype(np.uint64)
+    size = rng.integers(1, 60, 700)
+    place, root = rng.integers(0, 1 + size // 5), rng.integers(0, 40, 700)
+    got = similar.partnered(token, root, place, size)
+    pair = lambda i, j: root[i] != root[j] and 9 * min(size[i] - place[i], size[j] - place[j]) >= 4 * (size[i] + size[j])
+    want = np.array([any(pair(i, j) for j in np.flatnonzero(token == token[i])) for i in range(700)])
+    assert got[want].all() and 100 < want.sum() < 600
+    if few == 32:
+        assert (got == want).all()
+    else:
+        assert got.sum() < 700
+    base = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    sets = [np.sort(rng.permutation(base)[: rng.integers(230, 290)]) for _ in range(30)]
+    token, of, place, size = similar.heads(sets, np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+    order = np.argsort(token, kind="stable")
+    stay = order[similar.partnered(token[order], of[order], place[order], size[order])]
+    held = [set(token[stay[of[stay] == i]].tolist()) for i in range(30)]
+    pairs = [(i, j) for i in range(30) for j in range(i) if similar.similar(sets[i], sets[j])]
+    assert pairs and all(held[i] & held[j] for i, j in pairs)
